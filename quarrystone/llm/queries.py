@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrystone.functions.frames import table
-from quarrystone.llm import dedup, sight, split, terms
+from quarrystone.llm import dedup, leak, mix, sentences, sight, split, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,26 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     return sight.consistent_values(table(spark, d, "records"), table(spark, d, "chunks")).select("field", "key", "form")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leaked_pairs(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leak.removal_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mix.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents")).select("doc_id", "start_char", "end_char")
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -53,6 +73,11 @@ QUERIES: dict[str, Query] = {
     "p4_counts": p4_counts,
     "p5_found": p5_found,
     "p5_forms": p5_forms,
+    "p7_found": p7_found,
+    "p7_spans": p7_spans,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
 }
 
 _FORMS = r"""
