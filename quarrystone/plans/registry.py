@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.plans import data_queries
+from quarrystone.plans import data_queries, search_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (data_queries,)
+_PARTS = (search_queries, data_queries)
 QUERIES: dict[str, Query] = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 ORACLE: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
