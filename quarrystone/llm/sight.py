@@ -74,11 +74,13 @@ def mapping() -> dict[str, str]:
 @lru_cache(1)
 def _compiled() -> tuple[re.Pattern[str], dict[str, str]]:
     single = mapping()
-    marks = "".join(chr(i) for i in range(0x300, 0x20000) if ud.combining(chr(i)) or ud.category(chr(i)) == "Mc" and not ud.category(chr(i - 1)) == "Cn" and ud.normalize("NFC", chr(i)) != chr(i))
+    every = [chr(i) for i in range(0x80, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
+    composing = {x for c in every for x in ud.normalize("NFD", c)[1:]}  # also the later letters of a Korean syllable
+    marks = "".join(c for c in every if ud.combining(c) or c in composing)
+    marks += "".join(c for c, s in single.items() if s and ud.combining(s[0]))  # half-width sound marks
     m, unseen, keys = (f"[{re.escape(x)}]" for x in (marks, UNSEEN, "".join(single)))
-    jamo = "[\u1100-\u1112][\u1161-\u1175][\u11a8-\u11c2]?"
     joined = f"[{EMOJI}]\ufe0f?(?:{JOINER}[{EMOJI}]\ufe0f?)+"
-    return re.compile(f"{joined}|{jamo}|[^\\s{unseen[1:-1]}](?:{unseen}*{m})+|{keys}"), {}
+    return re.compile(f"{joined}|[^\\s{unseen[1:-1]}](?:{unseen}*{m})+|{keys}"), {}
 
 
 def consistent(text: str) -> str:
