@@ -48,7 +48,7 @@ def as_records(df: DataFrame, mapping: dict[str, str | Column]) -> DataFrame:
     out = []
     for column in RECORD_SCHEMA.split(", "):
         name, kind = column.split(" ", 1)
-        value = mapping.get(name, F.col(name) if name in df.columns else F.expr(empty[name]))
+        value = mapping[name] if name in mapping else F.col(name) if name in df.columns else F.expr(empty[name])
         out.append((F.expr(value) if isinstance(value, str) else value).cast(kind).alias(name))
     return df.select(*out)
 
