@@ -109,7 +109,42 @@ marked AS (
   SELECT field, term, occurrences, records, CASE WHEN records < 3 THEN 'rare' WHEN records * 10 > (SELECT count(*) FROM records) THEN 'common' END AS mark FROM counts)
 """
 
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_BLANKS = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_LOOK = {sight.CYRILLIC + sight.GREEK + "ё" + "Ё" + "ї" + "Ї": sight.CYRILLIC_AS + sight.GREEK_AS + "ë" + "Ë" + "ï" + "Ï"}
+_FROM, _TO = _WIDE + _BLANKS + next(iter(_LOOK)), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''") + " " * len(_BLANKS) + next(iter(_LOOK.values()))
+_JOINS = "[\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{FE0F}]"
+
+
+def _sight(x: str) -> str:
+    """The form of a text in SQL, as far as the tables' characters need it."""
+    x = f"regexp_replace({x}, '[\\x{{AD}}\\x{{200B}}\\x{{200C}}\\x{{2060}}\\x{{FEFF}}]', '', 'g')"
+    x = f"regexp_replace({x}, '({_JOINS})\\x{{200D}}({_JOINS})', '\\1' || chr(1) || '\\2', 'g')"
+    x = f"replace(replace({x}, chr(8205), ''), chr(1), chr(8205))"
+    for a, b in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return f"nfc_normalize(translate({x}, '{_FROM}', '{_TO}'))"
+
+
+_VALUES = f"""
+raw_values AS (
+  SELECT 'title' AS field, row_no AS key, title AS raw FROM records UNION ALL SELECT 'body', row_no, body FROM records
+  UNION ALL SELECT 'text', chunk_id, text FROM chunks),
+forms AS (SELECT field, key, raw, {_sight("raw")} AS form FROM raw_values WHERE raw IS NOT NULL)
+"""
+
+_LEAKS = r"""
+docs AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}]+', '', 'g') AS t FROM documents),
+items AS (SELECT item_id, CASE WHEN lang IN ('zh', 'ja') THEN 20 ELSE 50 END AS run, regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}]+', '', 'g') AS t FROM eval_items),
+phrases AS (SELECT DISTINCT item_id, run, substr(t, CAST(k AS BIGINT), run) AS p FROM (SELECT *, unnest(generate_series(1, length(t) - run + 1)) AS k FROM items)),
+windows AS (SELECT DISTINCT doc_id, run, substr(t, CAST(k AS BIGINT), run) AS p FROM (SELECT doc_id, t, run, unnest(generate_series(1, length(t) - run + 1)) AS k FROM docs, (VALUES (20), (50)) r(run)))
+"""
+
 ORACLE: dict[str, str] = {
+    "p5_found": f"""WITH {_VALUES}
+        SELECT a.field, a.key AS key_a, b.key AS key_b FROM forms a JOIN forms b ON a.field = b.field AND a.form = b.form AND a.raw <> b.raw AND a.key < b.key""",
+    "p5_forms": f"WITH {_VALUES} SELECT field, key, form FROM forms",
+    "p7_found": f"WITH {_LEAKS} SELECT DISTINCT doc_id, item_id FROM windows JOIN phrases USING (run, p)",
     "p1_found": """
         SELECT row_no FROM records LEFT JOIN chunking_configs USING (collection)
         WHERE strlen(body) > greatest(coalesce(max_chunk_bytes, 8192), 256)""",

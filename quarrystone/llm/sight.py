@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrystone.functions.frames import cut, python_batches, small
+from quarrystone.functions.frames import BROADCAST_ROWS, cut, has_at_most, join_groups, python_batches, small
 
 # Letters of other scripts that look like a Latin one, each with that letter at the same place.
 CYRILLIC, CYRILLIC_AS = "аеорсухіјѕһԁԛԝАВЕКМНОРСТУХІЈЅԚԜ", "aeopcyxijshdqwABEKMHOPCTYXIJSQW"
@@ -146,8 +146,13 @@ def same_sight_pairs(records: DataFrame, chunks: DataFrame) -> DataFrame:
     values = consistent_values(records, chunks)
     rows = cut(values.select("field", "key", digest("form").alias("form"), F.when(F.col("raw") != F.col("form"), digest("raw")).alias("other")))
     group = ["field", "form"]
-    forms = small(rows.where("other IS NOT NULL").select(group).distinct())
-    members = cut(rows.join(forms, group, "left_semi").select(*group, "key", F.coalesce("other", "form").alias("value")))
+    forms = rows.where("other IS NOT NULL").select(group).distinct()
+    if has_at_most(forms, BROADCAST_ROWS):
+        members = rows.join(F.broadcast(forms), group, "left_semi")
+    else:
+        groups = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("other").isNotNull()).alias("rewritten")).where("rewritten AND n > 1")
+        members = join_groups(rows, cut(groups), group, "n", rows.count())
+    members = cut(members.select(*group, "key", F.coalesce("other", "form").alias("value")))
     variants = members.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
     mixed = variants.groupBy(*group).agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
     variants = variants.join(mixed, group, "left_semi")

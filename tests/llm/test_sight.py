@@ -42,7 +42,9 @@ def test_rewriting_twice_changes_nothing(text):
     assert consistent(unicodedata.normalize("NFD", text)) == consistent(unicodedata.normalize("NFC", text))
 
 
-def test_pairs_against_brute_force(frame):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_pairs_against_brute_force(frame, monkeypatch, most):
+    monkeypatch.setattr("quarrystone.llm.sight.BROADCAST_ROWS", most)
     titles = [None, "", "Note", "Nоte", "Note", "Ｎｏｔｅ", "note", "N​ote", "Other", "Other "]
     rows = [(k, t, t and t * 2, "k", "f", "x") for k, t in enumerate(titles)]
     texts = [(k, t, "k", "r") for k, t in enumerate(["a", "а", "a", None, "", "b" * 200_000, "b" * 199_999 + "ｂ"])]
