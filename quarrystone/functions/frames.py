@@ -51,19 +51,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if has_at_most(df, rows) else df
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], n: str, total: int) -> DataFrame:
     """Inner join of rows with one-per-key groups, where a key may hold any share of the rows.
 
     groups has the number of rows of each key in column n. Keys with more than total / HEAVY_KEYS rows, of which
     there can be no more than HEAVY_KEYS, are broadcast, so their rows stay where they are; the rest is shuffled.
     """
+    on = [key] if isinstance(key, str) else key
     bar = max(1000, total // HEAVY_KEYS)
     heavy = groups.where(F.col(n) > bar)
     light = groups.where(F.col(n) <= bar)
     if has_at_most(heavy, 0):
-        return rows.join(light, key)
-    keys = F.broadcast(heavy.select(key))
-    return rows.join(F.broadcast(heavy), key).unionByName(rows.join(keys, key, "left_anti").join(light, key))
+        return rows.join(light, on)
+    keys = F.broadcast(heavy.select(on))
+    return rows.join(F.broadcast(heavy), on).unionByName(rows.join(keys, on, "left_anti").join(light, on))
 
 
 def letters(x: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrystone.functions.frames import cut, entries, small
+from quarrystone.functions.frames import BROADCAST_ROWS, cut, entries, has_at_most, small
 
 RECORD_COLUMNS = ("id", "collection", "title", "body", "fields", "tags", "metadata", "updated_at_epoch_seconds")
 
@@ -132,5 +132,7 @@ def pending_deliveries(feed: DataFrame, runs: DataFrame) -> DataFrame:
     seen = cut(in_periods(read, covered_periods(runs)))
     order = F.struct(F.col("arrived_at").isNull(), "arrived_at", "delivery_id")
     listing = cut(seen.where("NOT read").groupBy("checksum", "size").agg(F.min(order)["delivery_id"].alias("delivery_id")))
-    manifest = seen.where("read").select("checksum", "size").join(small(listing.select("checksum", "size")), ["checksum", "size"], "left_semi")
+    manifest, wanted = seen.where("read").select("checksum", "size"), listing.select("checksum", "size")
+    if has_at_most(wanted, BROADCAST_ROWS):
+        manifest = manifest.join(F.broadcast(wanted), ["checksum", "size"], "left_semi")
     return unprocessed(listing, manifest, ("checksum", "size")).select("delivery_id")

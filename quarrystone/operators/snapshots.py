@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrystone.functions.frames import cut, entries, has_at_most, small
+from quarrystone.functions.frames import BROADCAST_ROWS, cut, entries, has_at_most, small
 
 #: Rows of a snapshot that share a bucket, cells of each of a bucket's three tables at first, and rounds of enlarging.
 BUCKET_ROWS, CELLS, ROUNDS = 1024, 64, 6
@@ -123,7 +123,7 @@ def changed_keys(elements: DataFrame, roles: DataFrame) -> DataFrame:
         if has_at_most(failed, 0):
             return found.distinct()
         again = failed.join(F.broadcast(roles), "later").select("snapshot_no", "bucket").distinct()
-        todo, cells = elements.join(small(again), ["snapshot_no", "bucket"], "left_semi"), cells * 4
+        todo, cells = elements.join(small(again, 10 * BROADCAST_ROWS), ["snapshot_no", "bucket"], "left_semi"), cells * 4
     rest = elements.join(failed.join(F.broadcast(roles), "later"), ["snapshot_no", "bucket"]).select("later", "key")
     return found.unionByName(rest).distinct()
 
@@ -153,8 +153,13 @@ def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     elements = base.select("snapshot_no", F.pmod("key", F.lit(buckets)).cast("long").alias("bucket"), "key", "row")
     keys = changed_keys(elements, roles)
     sought = keys.join(F.broadcast(roles), "later")
-    sides = base.join(small(sought), ["snapshot_no", "key"]).groupBy("later", "collection", "id")
-    current = lambda sign: F.max(F.when(F.col("sign") == sign, F.struct(F.col("at").isNotNull(), "at", "digest")))["digest"]
+    rows = base.select("snapshot_no", "collection", "id", "key", F.struct(F.col("at").isNotNull(), "at", "digest").alias("version"))
+    if has_at_most(sought, BROADCAST_ROWS):
+        sought = F.broadcast(sought)
+    else:  # one row for each record of a snapshot, before its key meets what is sought
+        rows = rows.groupBy("snapshot_no", "collection", "id", "key").agg(F.max("version").alias("version"))
+    sides = rows.join(sought, ["snapshot_no", "key"]).groupBy("later", "collection", "id")
+    current = lambda sign: F.max(F.when(F.col("sign") == sign, F.col("version")))["digest"]
     both = sides.agg(current(1).alias("now"), current(-1).alias("then"))
     change = F.when(F.col("then").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("now") != F.col("then"), "changed")
     return both.select(F.col("later").alias("snapshot_no"), "collection", "id", change.alias("change")).where("change IS NOT NULL")

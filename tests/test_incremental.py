@@ -25,7 +25,9 @@ def run(n, a, b, status="succeeded"):
     return (n, at(0), None, None if a is None else at(a), at(b), status)
 
 
-def test_pending(frame):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_pending(frame, monkeypatch, most):
+    monkeypatch.setattr("quarrystone.operators.incremental.BROADCAST_ROWS", most)
     runs = [run(1, 0, 10), run(1, 0, 10), run(2, 10, 30, "failed"), run(3, 8, 12), run(4, 40, 41, "running"), run(5, 60, 50), run(6, None, 99), run(7, 25, 73)]
     feed = [
         delivery(1, 0), delivery(2, 9.99, "a"), delivery(3, 12, "late"), delivery(4, 20, "b2"), delivery(5, 13, "b2"), delivery(6, 13, "b2"), delivery(7, 14, "a"),  # done by 2

@@ -46,7 +46,9 @@ def made(n=400, seed=3):
     return rows
 
 
-def test_against_brute_force(frame):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_against_brute_force(frame, monkeypatch, most):
+    monkeypatch.setattr(snapshots, "BROADCAST_ROWS", most)
     rows = made()
     rows += [(2, None, None, None, None, None, None, None, None, None, None, None, None), (None, None, "id1", "m", "t", "b", None, None, None, 1, None, None, None)]
     assert rows_of(snapshots.snapshot_changes(frame(rows, SCHEMA))) == brute(rows)
