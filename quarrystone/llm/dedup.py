@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.functions.frames import cut, join_groups, letters
+from quarrystone.functions.frames import cut, join_groups, letters, ship
 
 LEAST_BITS, MOST_BITS, BITS_A_ROW = 1 << 17, 1 << 28, 16
 #: Bytes of one segment of a filter; MOST_BITS is 32 MB, the most that is ever sent to an executor.
@@ -128,6 +128,7 @@ def _marked(held, bits: int):
 
 
 def _grouped(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    ship(records.sparkSession)
     d = digests(records)
     rows = d.count()
     again, bits = repeats_filter(d, rows)
