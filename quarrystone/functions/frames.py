@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +79,22 @@ def entries(m: Column) -> Column:
     return F.array_sort(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>"))))
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, so that it need not be installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quarrystone_sent", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="quarrystone-")) / "quarrystone.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._quarrystone_sent = True
+
+
 def python_batches(spark: SparkSession, mb: int = 8) -> None:
-    """Bounds what a Python worker gets at once by bytes, as texts may be long."""
+    """Prepares for Python workers: sends them the package, and bounds what one gets at once by bytes, as texts may be
+    long."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrystone.functions.frames import BROADCAST_ROWS, cut, entries, has_at_most, small
+from quarrystone.functions.frames import BROADCAST_ROWS, cut, entries, has_at_most, ship, small
 
 #: Rows of a snapshot that share a bucket, cells of each of a bucket's three tables at first, and rounds of enlarging.
 BUCKET_ROWS, CELLS, ROUNDS = 1024, 64, 6
@@ -135,6 +135,7 @@ def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     smallest time; of equal times, the row with the larger digest counts. Rows without a snapshot_no are left out. NULL
     is a collection or id like any other. Columns besides the record columns are not read, so they cannot clash.
     """
+    ship(snapshots.sparkSession)
     base = snapshots.where("snapshot_no IS NOT NULL").select(
         F.col("snapshot_no").cast("int").alias("snapshot_no"),
         "collection",

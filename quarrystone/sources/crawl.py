@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.config import IndexConfig
+from quarrystone.functions.frames import ship
 from quarrystone.operators.ignore import IgnoreRule, ignored_with_parents, rules_of
 
 #: Bytes at the beginning of a file in which a NUL marks it as binary: for taking it in, and for searching it.
@@ -68,6 +69,7 @@ def crawl(spark: SparkSession, root: str, config: IndexConfig = IndexConfig()) -
 
     The folder must be one that the tasks can read too.
     """
+    ship(spark)
     rows = spark.createDataFrame(list(listing(root, config)), "relative_path string, byte_count long, modified_at_epoch_seconds long")
     rows = rows.where(visible(F.col("relative_path"), config) & (F.col("byte_count") <= config.max_file_bytes))
     if rules := ignore_rules(root, config):

@@ -13,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from quarrystone.config import EngineError
+from quarrystone.functions.frames import ship
 from quarrystone.sources.providers import as_records
 
 
@@ -94,6 +95,7 @@ class SQLiteSource(DataSource):
 
 
 def read_sqlite(spark: SparkSession, path: str, query: str, schema: str | None = None, **options: str) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(SQLiteSource)
     reader = spark.read.format("sqlite_query").options(path=path, query=query, **options)
     return (reader.schema(schema) if schema else reader).load()
