@@ -3,9 +3,9 @@
 Texts are compared as sequences of lower-cased letters. Every task cuts its documents into shards of bounded size,
 builds an FM-index over each (suffix order, Burrows-Wheeler transform, wavelet matrix with packed ranks, sampled suffix
 positions) and searches all phrases of all items backwards at once; a phrase drops out as soon as its range is empty.
-A phrase is a window of an item as long as the shortest run that counts, so a document shares such a run with an item
-exactly if one of the item's phrases occurs in it. Occurrences are located by walking to the next sampled position and
-merged to removal spans.
+Phrases are taken from an item so densely that any run that counts holds a whole one. Occurrences are located by
+walking to the next sampled position, extended to the longest run around them, kept if that is long enough, and merged
+to removal spans.
 """
 
 from __future__ import annotations
@@ -27,17 +27,24 @@ SHARD_BYTES, SAMPLED, ITEM_BYTES = 1 << 21, 16, 8 << 20
 RUN, SHORT_RUN, SHORT_LANGS = 50, 20, ("zh", "ja")
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Positions of a byte text ordered by their suffixes: eight bytes at first, then doubling among ties only."""
+def leading(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as a number, zeros behind the end."""
     n = len(text)
     padded = np.concatenate((text, np.zeros(8, np.uint8)))
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    return key
+
+
+def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, leading bytes) of a byte text in the order of its suffixes: by eight bytes at first, then doubling
+    among ties only."""
+    n = len(text)
+    key = leading(text)
+    order = np.argsort(key)
     key = key[order]
     starts = np.concatenate(([True], key[1:] != key[:-1]))
-    del key
     rank = np.empty(n + 1, np.int64)  # of a group: the place of its first member
     rank[n] = -1
     group = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
@@ -47,11 +54,11 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         tied = ~(starts & np.concatenate((starts[1:], [True])))
         at = np.nonzero(tied)[0]
         if not len(at):
-            return order
+            return order, key
         pos = order[at]
         head = rank[pos]
         tail = rank[np.minimum(pos + width, n)]
-        by = np.argsort(head * np.int64(n + 2) + tail + 1, kind="stable")
+        by = np.argsort(head * np.int64(n + 2) + tail + 1)
         pos, head, tail = pos[by], head[by], tail[by]
         order[at] = pos
         fresh = np.concatenate(([True], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])))
@@ -68,7 +75,7 @@ class FMIndex:
         self.code = np.full(256, -1, np.int64)
         self.code[used] = np.arange(len(used))
         self.n = n = len(text)
-        order = suffix_order(text)
+        order, self.heads = suffix_order(text)
         last = self.code[text[order - 1]].astype(np.uint8)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(self.code[text], minlength=len(used)))))
         marked = order % SAMPLED == 0
@@ -122,11 +129,25 @@ class FMIndex:
         return self.first[symbol] + here - low
 
     def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(phrase, begin, end) of the phrases that occur; phrases: a row each, last byte first."""
-        live = np.arange(len(phrases))
+        """(phrase, begin, end) of the phrases that occur; phrases: a row each, last byte first.
+
+        The range of a phrase's last eight bytes is looked up among the suffixes' leading bytes; from there the search
+        goes backwards, a byte at a time.
+        """
+        parts = [self._search(phrases, lengths, np.nonzero(lengths >= 8)[0], 8), self._search(phrases, lengths, np.nonzero(lengths < 8)[0], 0)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _search(self, phrases: np.ndarray, lengths: np.ndarray, live: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         begin, end = np.zeros(len(live), np.int64), np.full(len(live), self.n, np.int64)
+        if skip and len(live):
+            tail = np.zeros(len(live), np.uint64)
+            for k in range(skip - 1, -1, -1):
+                tail = (tail << np.uint64(8)) | phrases[live, k]
+            begin, end = np.searchsorted(self.heads, tail, "left"), np.searchsorted(self.heads, tail, "right")
+            some = begin < end
+            live, begin, end = live[some], begin[some], end[some]
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for k in range(int(lengths.max(initial=0))):
+        for k in range(skip, int(lengths[live].max(initial=0))):
             over = lengths[live] == k
             if over.any():
                 done.append((live[over], begin[over], end[over]))
@@ -158,26 +179,40 @@ class FMIndex:
 
 
 class Phrases:
-    """All phrases of a block of items, as rows of bytes, last byte first, with what each belongs to."""
+    """Phrases of a block of items, as rows of bytes, last byte first, with the places in items that they are from.
+
+    A phrase has half the letters of the shortest run that counts, and phrases begin so close to each other that any
+    such run of an item holds a whole one.
+    """
 
     def __init__(self, items: list[tuple[int, str, int]]):
-        owners: dict[bytes, list[int]] = {}
-        runs: dict[bytes, int] = {}
-        for item, text, run in items:
-            for p in {text[k : k + run].encode() for k in range(len(text) - run + 1)}:
-                owners.setdefault(p, []).append(item)
-                runs[p] = run
-        self.owners = list(owners.values())
-        self.runs = np.array(list(runs.values()), np.int64)
-        self.lengths = np.array([len(p) for p in owners], np.int64)
-        self.bytes = np.zeros((len(owners), int(self.lengths.max(initial=0))), np.uint8)
-        for k, p in enumerate(owners):
+        self.items = items
+        places: dict[bytes, list[tuple[int, int]]] = {}
+        for k, (_, text, run) in enumerate(items):
+            size = run // 2
+            for at in range(0, len(text) - size + 1, run - size + 1):
+                places.setdefault(text[at : at + size].encode(), []).append((k, at))
+        self.places = list(places.values())
+        self.lengths = np.array([len(p) for p in places], np.int64)
+        self.bytes = np.zeros((len(places), int(self.lengths.max(initial=0))), np.uint8)
+        for k, p in enumerate(places):
             self.bytes[k, : len(p)] = np.frombuffer(p[::-1], np.uint8)
-        self.longest = int(self.runs.max(initial=0))
+        self.longest = max((run for _, _, run in items), default=0)
+
+
+def shared_run(text: str, at: int, item: str, place: int) -> tuple[int, int]:
+    """(begin, end) in the text of the longest common run around a place of the text and one of the item."""
+    begin, k = at, place
+    while begin and k and text[begin - 1] == item[k - 1]:
+        begin, k = begin - 1, k - 1
+    end, k = at, place
+    while end < len(text) and k < len(item) and text[end] == item[k]:
+        end, k = end + 1, k + 1
+    return begin, end
 
 
 def shard_hits(texts: list[tuple[int, int, str]], phrases: Phrases) -> Iterator[tuple[int, int, int, int]]:
-    """(document, item, begin, end) of merged runs; texts: (document, letter at which the part begins, letters)."""
+    """(document, item, begin, end) of shared runs; texts: (document, letter at which the part begins, letters)."""
     raw = b"\x01".join(t.encode() for _, _, t in texts) + b"\x01\x00"
     text = np.frombuffer(raw, np.uint8)
     index = FMIndex(text)
@@ -185,17 +220,25 @@ def shard_hits(texts: list[tuple[int, int, str]], phrases: Phrases) -> Iterator[
     if not len(found):
         return
     count = end - begin
-    places = np.repeat(begin - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-    phrase, pos = np.repeat(found, count), index.locate(places)
+    ranges = np.repeat(begin - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+    phrase, pos = np.repeat(found, count), index.locate(ranges)
     starts = np.concatenate(([0], np.nonzero(text == 1)[0][:-1] + 1))
     char = np.cumsum((text & 0xC0) != 0x80) - 1  # separators count as a letter each
     part = np.searchsorted(starts, pos, side="right") - 1
     at = char[pos] - char[starts[part]]
+    order = np.lexsort((at, part))
+    seen: dict[tuple[int, int, int], int] = {}  # how far a part's run with an item, at a distance of places, reaches
     spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for p, k, a in zip(phrase.tolist(), part.tolist(), at.tolist(), strict=True):
-        doc, base, _ = texts[k]
-        for item in phrases.owners[p]:
-            spans.setdefault((doc, item), []).append((base + a, base + a + int(phrases.runs[p])))
+    for p, k, a in zip(phrase[order].tolist(), part[order].tolist(), at[order].tolist(), strict=True):
+        doc, base, letters_ = texts[k]
+        for i, place in phrases.places[p]:
+            if a < seen.get((k, i, a - place), 0):
+                continue
+            item, whole, run = phrases.items[i]
+            b, e = shared_run(letters_, a, whole, place)
+            seen[k, i, a - place] = e
+            if e - b >= run:
+                spans.setdefault((doc, item), []).append((base + b, base + e))
     for (doc, item), runs in spans.items():
         runs.sort()
         b, e = runs[0]

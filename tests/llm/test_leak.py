@@ -33,7 +33,7 @@ def test_index_against_sorting():
         for high in (2, 4, 200):
             text = np.concatenate((rng.integers(1, high + 1, n).astype(np.uint8), [0])).astype(np.uint8)
             want = sorted(range(len(text)), key=lambda i: bytes(text[i:]))
-            assert leak.suffix_order(text).tolist() == want
+            assert leak.suffix_order(text)[0].tolist() == want
             index = leak.FMIndex(text)
             assert index.locate(np.arange(len(text))).tolist() == want
             raw = bytes(text)
