@@ -168,3 +168,11 @@ def test_benchmark_of_files(spark, tmp_path):
         p.write_text("\n".join('let benchmarkNeedle = "SearchEngine"' if (n, k) == (17, 12) else f'let value{k} = "file-{n}-line-{k}"' for k in range(25)))
     r = baselines.benchmark_files(spark, str(tmp_path / "b"), "SearchEngine").first()
     assert r.file_count == 40 and r.indexed_matches == r.scan_matches == 1
+
+
+def test_index_without_storage_lives_in_the_shared_folder(spark):
+    index = RecordIndex(spark)
+    index.upsert(records_frame(spark, [R1]))
+    index.upsert(records_frame(spark, [R2]))
+    assert index.status().first().record_count == 2 and "://" in index.store.path
+    index.remove()
