@@ -21,7 +21,9 @@ from pyspark.sql.window import Window
 from quarrystone.functions.frames import BROADCAST_ROWS, cut, entries, has_at_most, ship, small
 
 #: Rows of a snapshot that share a bucket, cells of each of a bucket's three tables at first, and rounds of enlarging.
-BUCKET_ROWS, CELLS, ROUNDS = 1024, 64, 6
+BUCKET_ROWS, CELLS, ROUNDS = 512, 64, 6
+#: One bucket in so many is peeled first, to learn how many cells the others need.
+PILOT = 16
 SUMS = ("n", "key_hi", "key_lo", "row_hi", "row_lo", "checks")
 LOW = 0xFFFFFFFF
 
@@ -90,8 +92,9 @@ def _peeler(cells: int):
     return run
 
 
-def _differing(elements: DataFrame, roles: DataFrame, cells: int) -> DataFrame:
-    """later, bucket, key of the elements in which two snapshots differ; key NULL for a bucket that needs more cells."""
+def _differing(elements: DataFrame, roles: DataFrame, cells: int, only: DataFrame | None = None) -> DataFrame:
+    """later, bucket, key of the elements in which two snapshots differ; key NULL for a bucket that needs more cells.
+    only: later and bucket of the tables to make."""
     low = F.lit(LOW).cast("long")
     place = lambda j: F.pmod(F.shiftrightunsigned("row", 21 * j).bitwiseAND(F.lit(0x1FFFFF).cast("long")), F.lit(cells)).cast("int")
     spread = elements.select("snapshot_no", "bucket", "key", "row", F.posexplode(F.array(*(place(j) for j in range(3)))).alias("j", "cell"))
@@ -103,29 +106,43 @@ def _differing(elements: DataFrame, roles: DataFrame, cells: int) -> DataFrame:
         F.sum(F.col("row").bitwiseAND(low)).alias("row_lo"),
         F.sum(F.xxhash64("key", "row").bitwiseAND(low)).alias("checks"),
     )
+    signed = table.join(F.broadcast(roles), "snapshot_no")
+    if only is not None:
+        signed = signed.join(small(only, 10 * BROADCAST_ROWS), ["later", "bucket"], "left_semi")
     left = (
-        table.join(F.broadcast(roles), "snapshot_no")
-        .groupBy("later", "bucket", "j", "cell")
+        signed.groupBy("later", "bucket", "j", "cell")
         .agg(*(F.sum(F.col(c) * F.col("sign")).alias(c) for c in SUMS))
         .where(" OR ".join(f"{c} <> 0" for c in SUMS))
     )
     return left.groupBy("later", "bucket").applyInPandas(_peeler(cells), "later int, bucket long, key long")
 
 
-def changed_keys(elements: DataFrame, roles: DataFrame) -> DataFrame:
-    """later, key of all elements in which a snapshot and the one before it differ."""
-    found, todo, cells = None, elements, CELLS
+def _recovered(elements: DataFrame, roles: DataFrame, cells: int) -> DataFrame:
+    """later, key of all elements in which a snapshot and the one before it differ; failed buckets are enlarged, and
+    those that fail in every round count as different in all their keys."""
+    found, failed, todo = None, None, elements
     for _ in range(ROUNDS):
-        got = cut(_differing(todo, roles, cells))
+        got = cut(_differing(todo, roles, cells, failed))
         keys = got.where("key IS NOT NULL").select("later", "key")
         found = keys if found is None else found.unionByName(keys)
         failed = got.where("key IS NULL").select("later", "bucket")
         if has_at_most(failed, 0):
-            return found.distinct()
+            return found
         again = failed.join(F.broadcast(roles), "later").select("snapshot_no", "bucket").distinct()
         todo, cells = elements.join(small(again, 10 * BROADCAST_ROWS), ["snapshot_no", "bucket"], "left_semi"), cells * 4
     rest = elements.join(failed.join(F.broadcast(roles), "later"), ["snapshot_no", "bucket"]).select("later", "key")
-    return found.unionByName(rest).distinct()
+    return found.unionByName(rest)
+
+
+def changed_keys(elements: DataFrame, roles: DataFrame, buckets: int) -> DataFrame:
+    """The same, each once. Every sixteenth bucket goes first; how much it holds sets the cells of the others."""
+    if buckets < 4 * PILOT:
+        return _recovered(elements, roles, CELLS).distinct()
+    pilot = cut(_recovered(elements.where(F.col("bucket") % PILOT == 0), roles, CELLS))
+    pairs = roles.select("later").distinct().count()
+    each = 2 * pilot.count() / (-(-buckets // PILOT) * max(1, pairs))  # a changed key is two elements
+    cells = max(CELLS // 4, int(1.45 * (each + 4 * each**0.5) / 3) + 4)
+    return pilot.unionByName(_recovered(elements.where(F.col("bucket") % PILOT != 0), roles, cells)).distinct()
 
 
 def snapshot_changes(snapshots: DataFrame) -> DataFrame:
@@ -152,7 +169,7 @@ def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     largest = order.agg(F.max("rows")).first()[0] or 1
     buckets = max(1, -(-largest // BUCKET_ROWS))
     elements = base.select("snapshot_no", F.pmod("key", F.lit(buckets)).cast("long").alias("bucket"), "key", "row")
-    keys = changed_keys(elements, roles)
+    keys = changed_keys(elements, roles, buckets)
     sought = keys.join(F.broadcast(roles), "later")
     rows = base.select("snapshot_no", "collection", "id", "key", F.struct(F.col("at").isNotNull(), "at", "digest").alias("version"))
     if has_at_most(sought, BROADCAST_ROWS):

@@ -62,6 +62,12 @@ def test_buckets_are_enlarged_until_all_is_told(frame, monkeypatch, cells, round
     assert rows_of(snapshots.snapshot_changes(frame(rows, SCHEMA))) == brute(rows)
 
 
+def test_pilot_buckets(frame, monkeypatch):
+    monkeypatch.setattr(snapshots, "BUCKET_ROWS", 8)
+    rows = made(600, 5)
+    assert rows_of(snapshots.snapshot_changes(frame(rows, SCHEMA))) == brute(rows)
+
+
 def test_hot_key_and_equal_snapshots(frame):
     row = (1, None, "hot", "m", "t", "b", {}, [], {}, 5, "", 0, 0)
     rows = [row] * 500 + [(2, *row[1:])] * 300 + [(3, *row[1:5], "new", *row[6:])] * 2 + [(3, *row[1:])]
