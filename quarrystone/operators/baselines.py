@@ -71,7 +71,7 @@ ENGINES: dict[str, Callable[[DataFrame, RecordQuery], DataFrame]] = {
     "wildcard": wildcard,
     "scan": search.naive_count,
 }
-RESULT = "engine string, build_ms double, query_ms double, matched_records long, available boolean, note string"
+RESULT = "engine string, build_ms double, query_ms double, matched_records long, available boolean, note string, speedup double"
 
 
 def available(q: RecordQuery, engine: str) -> bool:
@@ -91,7 +91,8 @@ def compare(records: DataFrame, q: RecordQuery) -> DataFrame:
 
 
 def benchmark_records(spark: SparkSession, records: DataFrame, q: RecordQuery, config: RecordIndexConfig = RecordIndexConfig(), reuse: bool = False, progress: Progress = lambda phase, message: None) -> DataFrame:
-    """A row per engine: build and query milliseconds, matched records, whether it can take the query."""
+    """A row per engine: build and query milliseconds, matched records, whether it can take the query, and how many times
+    faster than the scan it was (NULL if either was not measured)."""
     ms = lambda began: (time.perf_counter() - began) * 1000
     progress("prepare", "opening the index")
     if reuse:
@@ -119,7 +120,8 @@ def benchmark_records(spark: SparkSession, records: DataFrame, q: RecordQuery, c
         n = engine(records, q).first().matched_records
         rows.append((name, None, ms(began), n, True, ""))
     progress("done", "")
-    return spark.createDataFrame(rows, RESULT)
+    scan = next((r[2] for r in rows if r[0] == "scan"), None)
+    return spark.createDataFrame([(*r, scan / r[2] if scan and r[2] else None) for r in rows], RESULT)
 
 
 def benchmark_files(spark: SparkSession, root: str, pattern: str, q: FileQuery = FileQuery(), config: IndexConfig = IndexConfig()) -> DataFrame:

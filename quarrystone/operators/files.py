@@ -15,8 +15,8 @@ from quarrystone.operators import grams
 from quarrystone.operators.globs import glob_regex, is_valid
 from quarrystone.operators.planner import Plan, ScanAll, plan_literal, plan_regex
 from quarrystone.operators.postings import restricted
-from quarrystone.operators.store import Generations
-from quarrystone.sources.crawl import SNIFF_SEARCH, crawl, has_nul
+from quarrystone.operators.store import Generations, age_seconds, one_row
+from quarrystone.sources.crawl import SNIFF_SEARCH, crawl, has_nul, head_commit
 
 LINE = "struct<line:int,excerpt:string>"
 MATCHES_SCHEMA = ("doc_id", "relative_path", "match_no", "line", "column", "excerpt", "match_length", "context_before", "context_after")
@@ -117,9 +117,23 @@ class FileSearch:
         return (ordered if q.max_results is None else ordered.limit(q.max_results)).select(*MATCHES_SCHEMA)
 
     def report(self) -> DataFrame:
-        """candidate_count, matched_file_count, total_match_count: before max_results, after the cap per file."""
-        found = self.verified.agg(F.count(F.lit(1)).alias("matched_file_count"), F.coalesce(F.sum("match_count"), F.lit(0)).alias("total_match_count"))
-        return self.candidates.agg(F.count(F.lit(1)).alias("candidate_count")).crossJoin(found)
+        """candidate_count, matched_file_count, total_match_count: before max_results, after the cap per file. One pass:
+        candidates that do not match count as zero matches."""
+        q = self.query
+        n = F.when(matching.found(F.col("text"), self.pattern, q.literal, self.insensitive), _capped(self.pattern, q, self.insensitive))
+        most = (lambda c: F.least(c, F.lit(1))) if q.quiet else (lambda c: c)
+        return self.candidates.select(n.alias("n")).agg(
+            F.count(F.lit(1)).alias("candidate_count"),
+            most(F.count("n")).alias("matched_file_count"),
+            most(F.coalesce(F.sum("n"), F.lit(0))).alias("total_match_count"),
+        )
+
+
+def _capped(pattern: str, q: FileQuery, insensitive: bool) -> Column:
+    """Matches of a file: one for files_only and quiet, else up to the cap."""
+    n = matching.count(F.col("text"), pattern, q.literal, insensitive)
+    cap = 1 if q.files_only or q.quiet else q.max_count_per_file
+    return n if cap is None else F.least(n, F.lit(cap))
 
 
 def search_files(files: DataFrame, pattern: str, q: FileQuery = FileQuery(), postings: DataFrame | None = None, config: IndexConfig = IndexConfig()) -> FileSearch:
@@ -129,12 +143,7 @@ def search_files(files: DataFrame, pattern: str, q: FileQuery = FileQuery(), pos
     if postings is not None:
         read = restricted(read.withColumnRenamed("doc_id", "chunk_id"), plan_of(pattern, q, config), postings).withColumnRenamed("chunk_id", "doc_id")
     candidates = read.where(path_filter(q, F.col("relative_path")))
-    n = matching.count(F.col("text"), pattern, q.literal, insensitive)
-    if q.files_only or q.quiet:
-        n = F.least(n, F.lit(1))
-    elif q.max_count_per_file is not None:
-        n = F.least(n, F.lit(q.max_count_per_file))
-    hit = candidates.where(matching.found(F.col("text"), pattern, q.literal, insensitive)).withColumn("match_count", n)
+    hit = candidates.where(matching.found(F.col("text"), pattern, q.literal, insensitive)).withColumn("match_count", _capped(pattern, q, insensitive))
     if q.quiet:
         hit = hit.orderBy("doc_id").limit(1)
     return FileSearch(candidates, hit, q, pattern, insensitive)
@@ -182,7 +191,7 @@ class FileIndex:
 
     def save(self, path: str) -> None:
         tables = {"files": self.files, "postings": self.postings.repartitionByRange("gram").sortWithinPartitions("gram", "chunk_id")}
-        Generations(self.spark, path).publish(tables, {"version": self.VERSION, "root": self.root, "config": asdict(self.config)})
+        Generations(self.spark, path).publish(tables, {"version": self.VERSION, "root": self.root, "config": asdict(self.config), "commit": head_commit(self.root)})
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, root: str | None = None) -> FileIndex:
@@ -226,9 +235,19 @@ class FileIndex:
         return search_files(as_text_files(self.files), pattern, q, self.postings if strategy == "indexed" else None, self.config)
 
     def status(self) -> DataFrame:
-        """One row: file_count, gram_count, byte_count, generation."""
+        """One row: file_count, byte_count, gram_count, overlay_file_count, tombstone_count, generation, commit,
+        age_seconds (never below 0)."""
         if self.path is None:
             raise EngineError(NOT_PERSISTED, "the index was not saved")
-        n = self.files.agg(F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum("byte_count"), F.lit(0)).alias("byte_count"))
-        g = self.postings.agg(F.count_distinct("gram").alias("gram_count"))
-        return n.crossJoin(g).withColumn("generation", F.lit(self.meta["generation"]))
+        store = Generations(self.spark, self.path)
+        overlay = {t: store.read_overlay(self.meta, t) if self.meta.get("overlay") else self.spark.range(0) for t in ("files", "tombstones")}
+        rows = lambda df: df.agg(F.count(F.lit(1)))
+        return one_row(
+            {
+                "file_count": rows(self.files),
+                "byte_count": self.files.agg(F.coalesce(F.sum("byte_count"), F.lit(0))),
+                "gram_count": self.postings.agg(F.count_distinct("gram")),
+                "overlay_file_count": rows(overlay["files"]),
+                "tombstone_count": rows(overlay["tombstones"]),
+            }
+        ).select("*", F.lit(self.meta["generation"]).alias("generation"), F.lit(self.meta.get("commit")).cast("string").alias("commit"), age_seconds(self.meta).alias("age_seconds"))

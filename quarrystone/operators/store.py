@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.config import NO_PROVIDER, WRONG_VERSION, EngineError, RecordIndexConfig, RecordQuery, Recovery
@@ -83,7 +83,7 @@ class Generations:
             name = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
             for table, df in tables.items():
                 df.write.mode("overwrite").option("parquet.bloom.filter.enabled#gram", "true").parquet(f"{self.path}/generations/{name}/{table}")
-            meta = {**meta, "generation": name, "overlay": 0}
+            meta = {**meta, "generation": name, "overlay": 0, "written": int(time.time())}
             self._write_text("CURRENT", json.dumps(meta))
             self._retire()
         return meta
@@ -94,7 +94,7 @@ class Generations:
             k = f"{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
             for table, df in tables.items():
                 df.write.mode("overwrite").parquet(f"{self.path}/generations/{meta['generation']}/overlay-{k}/{table}")
-            meta = {**meta, **more, "overlay": k}
+            meta = {**meta, **more, "overlay": k, "written": int(time.time())}
             self._write_text("CURRENT", json.dumps(meta))
         return meta
 
@@ -266,17 +266,28 @@ class RecordIndex:
         return search.hits(chunks, query, entries, self.config.index), search.report(chunks, query, entries, self.config.index)
 
     def status(self) -> DataFrame:
-        """One row: record_count, chunk_count, gram_count, overlay_chunk_count, tombstone_count, resident_bytes, generation."""
-        overlay, dead = self._overlay("chunks"), self._overlay("tombstones")
+        """One row: record_count, chunk_count, resident_bytes, gram_count, overlay_chunk_count, tombstone_count,
+        generation, age_seconds (never below 0)."""
         none = self.spark.range(0)
-        n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-        return (
-            index_status(self.chunks())
-            .crossJoin(self.postings().agg(F.count_distinct("gram").alias("gram_count")))
-            .crossJoin(n(none if overlay is None else overlay, "overlay_chunk_count"))
-            .crossJoin(n(none if dead is None else dead, "tombstone_count"))
-            .withColumn("generation", F.lit(self.meta["generation"]))
-        )
+        overlay, dead = self._overlay("chunks"), self._overlay("tombstones")
+        rows = lambda df: (none if df is None else df).agg(F.count(F.lit(1)))
+        chunks = index_status(self.chunks())
+        counts = {c: chunks.select(c) for c in chunks.columns}
+        counts |= {"gram_count": self.postings().agg(F.count_distinct("gram")), "overlay_chunk_count": rows(overlay), "tombstone_count": rows(dead)}
+        return one_row(counts).select("*", F.lit(self.meta["generation"]).alias("generation"), age_seconds(self.meta).alias("age_seconds"))
+
+
+def one_row(counts: dict[str, DataFrame]) -> DataFrame:
+    """One row out of several one-value tables."""
+    out = None
+    for name, df in counts.items():
+        part = df.toDF("value").select(F.lit(name).alias("name"), F.col("value").cast("long").alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out.agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in counts))
+
+
+def age_seconds(meta: dict) -> Column:
+    return F.lit(max(0, int(time.time()) - int(meta.get("written", 0))))
 
 
 def index_status(chunks: DataFrame) -> DataFrame:

@@ -64,6 +64,20 @@ def ignore_rules(root: str, config: IndexConfig) -> list[IgnoreRule]:
     return rules_of(found)
 
 
+def head_commit(root: str) -> str | None:
+    """The commit that is checked out in the folder, read from its repository; None if there is none."""
+    git = os.path.join(root, ".git")
+    try:
+        with open(os.path.join(git, "HEAD")) as f:
+            head = f.read().strip()
+        if not head.startswith("ref: "):
+            return head
+        with open(os.path.join(git, *head[5:].split("/"))) as f:
+            return f.read().strip()
+    except OSError:
+        return None
+
+
 def crawl(spark: SparkSession, root: str, config: IndexConfig = IndexConfig()) -> DataFrame:
     """doc_id (by path, from 0), relative_path, byte_count, modified_at_epoch_seconds, content of the text files.
 

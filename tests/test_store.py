@@ -6,6 +6,7 @@ from quarrystone.config import NO_PROVIDER, NO_REUSE, NOT_PERSISTED, NOTHING_TO_
 from quarrystone.operators import baselines
 from quarrystone.operators.files import FileIndex
 from quarrystone.operators.store import RecordIndex
+from quarrystone.sources.crawl import head_commit
 from quarrystone.sources.providers import CallableProvider, records_frame
 
 R1 = dict(id="r1", collection="messages", title="Sparse indexing", body="This chat memory uses sparse indexing for fast lookup.", tags=["memory", "chat"], metadata={"conversation": "alpha"})
@@ -98,6 +99,7 @@ def test_benchmark_of_records(spark, tmp_path):
     first = {r.engine: r for r in baselines.benchmark_records(spark, df, q, config, progress=lambda p, m: phases.append(p)).collect()}
     again = {r.engine: r for r in baselines.benchmark_records(spark, df, q, config, reuse=True).collect()}
     assert len(first) == 5 and {r.matched_records for r in first.values()} == {1} == {r.matched_records for r in again.values()}
+    assert first["scan"].speedup == 1 and first["index"].speedup > 0
     assert again["index"].build_ms == 0 and phases[0] == "prepare" and phases[-1] == "done"
     with pytest.raises(EngineError) as e:
         baselines.benchmark_records(spark, df, q, reuse=True)
@@ -150,6 +152,8 @@ def test_file_index_round_trip_and_update(spark, tree, tmp_path):
     (tree / "_u.txt").unlink()
     index = FileIndex.update(spark, str(tree), where, CONFIG)
     assert index.meta["generation"] == generation
+    status = index.status().first()
+    assert (status.overlay_file_count, status.tombstone_count, status.commit) == (2, 2, None) and 0 <= status.age_seconds < 600
     assert sorted(paths(index)) == sorted([*(p for p in SEEN if p != "_u.txt"), "New.swift"])
     for strategy in ("scan", "indexed"):
         assert {r.relative_path for r in index.search("sparse-index", FileQuery(literal=True), strategy).counts().collect()} == {"New.swift", "Sources/App/SearchEngine.swift"}
@@ -161,6 +165,14 @@ def test_file_index_round_trip_and_update(spark, tree, tmp_path):
         FileIndex.open(spark, str(tmp_path / "nowhere"))
 
 
+def test_head_commit(tmp_path):
+    assert head_commit(str(tmp_path)) is None
+    (tmp_path / ".git" / "refs" / "heads").mkdir(parents=True)
+    (tmp_path / ".git" / "HEAD").write_text("ref: refs/heads/main\n")
+    (tmp_path / ".git" / "refs" / "heads" / "main").write_text("abc123\n")
+    assert head_commit(str(tmp_path)) == "abc123"
+
+
 def test_benchmark_of_files(spark, tmp_path):
     for n in range(40):
         p = tmp_path / "b" / "Sources" / f"File{n}.swift"
