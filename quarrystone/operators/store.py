@@ -219,7 +219,7 @@ class RecordIndex:
         replaced = self.chunks().join(small(keys), ["collection", "record_id"], "left_semi").select("chunk_id")
         new = cut(chunk_records(batch.drop(order), self.config.chunking, start=self.meta["next_id"]))
         result = Maintained(upserted=batch.count())
-        self._commit(new, replaced, result)
+        self._commit(new, replaced)
         if self.config.compaction_threshold <= self.store.read_overlay(self.meta, "chunks").count():
             self.compact()
             return Maintained(upserted=result.upserted, compacted=True)
@@ -229,15 +229,21 @@ class RecordIndex:
         """Removes records by id, in one collection or in all. Counts the keys that were there."""
         wanted = ids.select("id").distinct() if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in set(ids)], "id string")
         found = self.chunks().join(small(wanted), F.col("record_id") == F.col("id"), "left_semi")
-        if collection is not None:
-            found = found.where(F.col("collection") == collection)
-        found = cut(found.select("collection", "record_id", "chunk_id"))
+        return self._deleted(found if collection is None else found.where(F.col("collection") == collection))
+
+    def delete_keys(self, keys: DataFrame) -> Maintained:
+        """Removes the records with these collections and ids."""
+        wanted = keys.select("collection", F.col("id").alias("record_id")).distinct()
+        return self._deleted(self.chunks().join(small(wanted), ["collection", "record_id"], "left_semi"))
+
+    def _deleted(self, chunks: DataFrame) -> Maintained:
+        found = cut(chunks.select("collection", "record_id", "chunk_id"))
         n = found.select("collection", "record_id").distinct().count()
         if n:
-            self._commit(self._empty(), found.select("chunk_id"), Maintained(deleted=n))
+            self._commit(self._empty(), found.select("chunk_id"))
         return Maintained(deleted=n)
 
-    def _commit(self, new: DataFrame, dead: DataFrame, result: Maintained) -> None:
+    def _commit(self, new: DataFrame, dead: DataFrame) -> None:
         entries = grams.postings(new, self.config.index.max_gram_length)
         overlay = {"chunks": new, "postings": entries, "tombstones": dead}
         if self.meta.get("overlay"):

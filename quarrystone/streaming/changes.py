@@ -17,9 +17,7 @@ def apply_changes(index: RecordIndex, changes: DataFrame, order: tuple[str, ...]
     """Applies upserts and deletes; of one record's changes the last counts, by the columns of `order`."""
     last = changes.groupBy("collection", "id").agg(F.max_by(F.struct("op", *(c for c in COLUMNS if c not in ("collection", "id"))), F.struct(*order)).alias("r"))
     rows = cut(last.select("collection", "id", "r.*"))
-    gone = rows.where("op = 'delete'").select("collection", "id")
-    for c in [r.collection for r in gone.select("collection").distinct().toLocalIterator()]:
-        index.delete(gone.where(F.col("collection") == c), c)
+    index.delete_keys(rows.where("op = 'delete'"))
     index.upsert(rows.where("op = 'upsert'").select(*COLUMNS))
 
 
