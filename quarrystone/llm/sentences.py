@@ -101,6 +101,7 @@ NEAR = 4
 END = ".!?…。！？।؟"
 PAIRS = {"(": ")", "（": "）", "«": "»", "「": "」", "『": "』", "“": "”", "„": "“”", "‘": "’", '"': '"', "'": "'"}
 CLOSERS = set("".join(PAIRS.values()))
+OPENERS = {c: [o for o in PAIRS if c in PAIRS[o]] for c in CLOSERS}
 TRAILING = "”\"»)]」』）’"
 THAI = "฀-๿"
 QUOTES = "\"“”„«»「」『』"
@@ -135,6 +136,7 @@ def line_groups(text: str) -> Iterator[tuple[int, int]]:
 def enclosed(text: str, events: list[re.Match[str]], end: int) -> dict[int, int]:
     """For each opening mark that is closed within the group, its event and that of its closing mark."""
     stack: list[int] = []
+    held: dict[str, int] = dict.fromkeys(PAIRS, 0)  # how many of each opening mark are on the stack
     pairs: dict[int, int] = {}
     for k, e in enumerate(events):
         c = text[e.start()]
@@ -148,15 +150,20 @@ def enclosed(text: str, events: list[re.Match[str]], end: int) -> dict[int, int]
             if c == "'" and not before.isalnum() and before not in END + "," and after.isspace():
                 continue
         if c in CLOSERS:
-            found = next((j for j in range(len(stack) - 1, -1, -1) if c in PAIRS[text[events[stack[j]].start()]]), None)
-            if found is not None:
-                pairs[stack[found]] = k
-                del stack[found:]
+            if any(held[o] for o in OPENERS[c]):
+                while True:
+                    j = stack.pop()
+                    o = text[events[j].start()]
+                    held[o] -= 1
+                    if c in PAIRS[o]:
+                        break
+                pairs[j] = k
                 continue
         if c in PAIRS:
             if c == "'" and text[e.start() - 1 : e.start()].isalnum():
                 continue
             stack.append(k)
+            held[c] += 1
     return pairs
 
 

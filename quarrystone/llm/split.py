@@ -115,10 +115,9 @@ def pieces(text: str, max_bytes: int, overlap_bytes: int, breaks: Sequence[str])
         edges = [lo, *inner.tolist(), hi]
         todo.extend((a, b, rank) for a, b in reversed(list(zip(edges, edges[1:], strict=False))))
     out: list[tuple[int, int, int]] = []
-    parts, new, begin = np.array(ends), 0, 0
+    until, new, begin = at[np.array(ends)], 0, 0
     while new < len(text):
-        last = int(np.searchsorted(at[parts], at[begin] + max_bytes, side="right")) - 1
-        end = int(parts[last])
+        end = ends[int(np.searchsorted(until, at[begin] + max_bytes, side="right")) - 1]
         out.append((begin, new, end))
         new = end
         begin = int(np.searchsorted(at, at[end] - overlap, side="left"))

@@ -66,6 +66,14 @@ def test_unclosed_marks_enclose_nothing():
     assert [text[a:b] for a, b in units(text, trained())] == ["He said “go.", "Then he left.", "(And so.", "It ended"]
 
 
+def test_many_marks_take_no_long_time():
+    import time
+
+    began = time.perf_counter()
+    units("“" * 50_000 + ")" * 50_000 + "(" * 50_000 + "a. B", trained())
+    assert time.perf_counter() - began < 5
+
+
 def test_frame(frame):
     schema = "doc_id long, text string, lang string, unit_no string, start_char int"
     rows = [(1, "One. Two.", "xx", "", 0), (2, None, None, None, None), (3, "", "", "", 0), (4, " \n ", "", "", 0), (None, "No id", "", "", 0), (1, "One. Two.", "", "", 0), (5, "ab. " * 20_000, "", "", 0)]

@@ -59,6 +59,14 @@ def test_unbroken_text_ends(text):
     check(text, 8192, 64, ["\n", " ", "\t"])
 
 
+def test_very_long_text():
+    import time
+
+    began = time.perf_counter()
+    got = pieces("some words here. " * 300_000, 256, 64, ["\n", " "])
+    assert len(got) > 20_000 and time.perf_counter() - began < 30
+
+
 def test_frames(frame):
     configs = frame(
         [(1, "small", 100, -5, ["\n"]), (2, "null", None, None, None), (9, "twice", 4096, 0, []), (3, "twice", 300, 10, []), (4, None, 300, 0, [])], CONFIGS
