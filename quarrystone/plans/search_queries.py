@@ -167,6 +167,12 @@ def file_matches_context(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "line", "excerpt", lines("context_before").alias("context_before"), lines("context_after").alias("context_after"))
 
 
+def file_matches_across_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A literal that holds line ends, so places are those in the file."""
+    found = _file_search(FileQuery(literal=True, max_results=None), ".\n\n")(spark, d).matches()
+    return found.select("doc_id", "match_no", "line", "column", "excerpt", "match_length")
+
+
 def file_match_top(spark: SparkSession, d: str) -> DataFrame:
     return _file_search(FileQuery(literal=True, max_results=50))(spark, d).matches().select("doc_id", "match_no", "line", "column")
 
@@ -245,6 +251,7 @@ QUERIES = {
     "change_detection": change_detection,
     "file_matches": file_matches,
     "file_matches_context": file_matches_context,
+    "file_matches_across_lines": file_matches_across_lines,
     "file_match_top": file_match_top,
     "file_counts": _file_counts(FileQuery(literal=True, count_matches=True)),
     "file_counts_capped": _file_counts(FileQuery(literal=True, max_count_per_file=2)),
@@ -355,6 +362,12 @@ ORACLE = {
           coalesce(array_to_string(list_transform(range(greatest(n - 2, 1), n), lambda k: k || ':' || ls[k]), chr(10)), '') AS context_before,
           coalesce(array_to_string(list_transform(range(n + 1, least(n + 2, len(ls)) + 1), lambda k: k || ':' || ls[k]), chr(10)), '') AS context_after
         FROM lines WHERE regexp_matches(ls[n], 'Dovit .*(box|log)')""",
+    "file_matches_across_lines": f"""WITH {_FILES},
+        p AS (SELECT doc_id, text, string_split(text, '.' || chr(10) || chr(10)) AS p FROM files WHERE contains(text, '.' || chr(10) || chr(10))),
+        k AS (SELECT doc_id, text, p, unnest(generate_series(1, len(p) - 1)) AS k FROM p),
+        heads AS (SELECT doc_id, text, k, substr(text, 1, CAST(list_sum(list_transform(p[1:k], lambda x: length(x))) + 3 * (k - 1) AS BIGINT)) AS head FROM k),
+        l AS (SELECT doc_id, k, string_split(head, chr(10)) AS h, string_split(text, chr(10)) AS ls FROM heads)
+        SELECT doc_id, CAST(k - 1 AS INTEGER) AS match_no, CAST(len(h) AS INTEGER) AS line, CAST(length(h[len(h)]) + 1 AS INTEGER) AS "column", ls[len(h)] AS excerpt, 3 AS match_length FROM l""",
     "file_match_top": f"WITH {_LINES} SELECT doc_id, match_no, line, \"column\" FROM matches ORDER BY doc_id, match_no LIMIT 50",
     "file_counts": f"WITH {_FILES} " + _COUNT_FILES.format(n=_LIT[1], more=""),
     "file_counts_capped": f"WITH {_FILES} " + _COUNT_FILES.format(n=f"least({_LIT[1]}, 2)", more=""),
