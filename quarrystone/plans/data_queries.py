@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.functions.frames import table
+from quarrystone.functions.frames import scratch, table
 from quarrystone.operators import incremental, snapshots
+from quarrystone.streaming.changes import latest_in_batches, latest_of_batches
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -16,7 +17,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.pending_deliveries(table(spark, d, "record_feed"), table(spark, d, "ingest_runs"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found}
+def stream_upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The feed as a stream, a few files at a time, to the last version of every record."""
+    feed = f"{d}/record_fee[d].parquet"  # a pattern, as a stream's path must be a folder or a pattern
+    stream = spark.readStream.schema(table(spark, d, "record_feed").schema).option("maxFilesPerTrigger", 4).parquet(feed)
+    out, state = scratch(spark, "latest"), scratch(spark, "latest-state")
+    latest_in_batches(stream.where("op = 'upsert'"), out, state).awaitTermination()
+    return latest_of_batches(spark.read.parquet(out)).select("collection", "id", "delivery_id", "updated_at_epoch_seconds")
+
+
+QUERIES = {"stream_upsert_latest": stream_upsert_latest, "p3_found": p3_found, "p6_found": p6_found}
 
 _CURRENT = """
 current AS (
@@ -39,6 +49,9 @@ seen AS (
 """
 
 ORACLE = {
+    "stream_upsert_latest": """
+        SELECT collection, id, arg_max(delivery_id, (arrived_at, delivery_id)) AS delivery_id, arg_max(updated_at_epoch_seconds, (arrived_at, delivery_id)) AS updated_at_epoch_seconds
+        FROM record_feed WHERE op = 'upsert' GROUP BY collection, id""",
     "p3_found": f"""WITH {_CURRENT}
         SELECT coalesce(l.snapshot_no, e.later) AS snapshot_no, coalesce(l.collection, e.collection) AS collection, coalesce(l.id, e.id) AS id,
           CASE WHEN e.id IS NULL THEN 'added' WHEN l.id IS NULL THEN 'removed' ELSE 'changed' END AS change
