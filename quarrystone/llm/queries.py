@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarrystone.functions.frames import table
 from quarrystone.llm import dedup, leak, mix, sentences, sight, split, terms
@@ -52,6 +53,11 @@ def p7_spans(spark: SparkSession, d: str) -> DataFrame:
     return leak.removal_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents each leaked item is in."""
+    return p7_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mix.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
@@ -64,6 +70,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents")).select("doc_id", "start_char", "end_char")
 
 
+def p9_units(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents"), with_text=True)
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -75,9 +85,11 @@ QUERIES: dict[str, Query] = {
     "p5_forms": p5_forms,
     "p7_found": p7_found,
     "p7_spans": p7_spans,
+    "p7_items": p7_items,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
     "p9_found": p9_found,
+    "p9_units": p9_units,
 }
 
 _FORMS = r"""
@@ -144,6 +156,7 @@ ORACLE: dict[str, str] = {
     "p5_found": f"""WITH {_VALUES}
         SELECT a.field, a.key AS key_a, b.key AS key_b FROM forms a JOIN forms b ON a.field = b.field AND a.form = b.form AND a.raw <> b.raw AND a.key < b.key""",
     "p5_forms": f"WITH {_VALUES} SELECT field, key, form FROM forms",
+    "p7_items": f"WITH {_LEAKS} SELECT item_id, count(DISTINCT doc_id) AS documents FROM windows JOIN phrases USING (run, p) GROUP BY item_id",
     "p7_found": f"WITH {_LEAKS} SELECT DISTINCT doc_id, item_id FROM windows JOIN phrases USING (run, p)",
     "p1_found": """
         SELECT row_no FROM records LEFT JOIN chunking_configs USING (collection)

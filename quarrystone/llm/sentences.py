@@ -356,28 +356,33 @@ def units(text: str, model: Model) -> list[tuple[int, int]]:
     return out
 
 
-def _tagger(weights: dict[str, float]):
+def _tagger(weights: dict[str, float], with_text: bool):
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(weights)
         for b in batches:
-            docs, numbers, starts, ends = [], [], [], []
+            docs, numbers, starts, ends, texts = [], [], [], [], []
             for doc, text in zip(b.doc_id, b.text, strict=True):
                 for k, (s, e) in enumerate(units(text, model)):
                     docs.append(doc)
                     numbers.append(k)
                     starts.append(s)
                     ends.append(e)
-            yield pd.DataFrame({"doc_id": docs, "unit_no": numbers, "start_char": starts, "end_char": ends})
+                    if with_text:
+                        texts.append(text[s:e])
+            out = {"doc_id": docs, "unit_no": numbers, "start_char": starts, "end_char": ends}
+            yield pd.DataFrame(out | {"text": texts} if with_text else out)
 
     return tag
 
 
-def sentence_units(documents: DataFrame) -> DataFrame:
-    """doc_id, unit_no from 0, start_char, end_char (code points of text from 0, end exclusive) of every unit.
+def sentence_units(documents: DataFrame, with_text: bool = False) -> DataFrame:
+    """doc_id, unit_no from 0, start_char, end_char (code points of text from 0, end exclusive) of every unit, and its
+    text if wanted.
 
     NULL and blank texts have no unit. A row that occurs twice gives its units twice; a NULL doc_id is kept. The
     language column is not used, as it may be wrong; only doc_id and text are read.
     """
     python_batches(documents.sparkSession, 4)
     docs = documents.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInPandas(_tagger(trained().weights), "doc_id long, unit_no int, start_char long, end_char long")
+    schema = "doc_id long, unit_no int, start_char long, end_char long" + ", text string" * with_text
+    return docs.mapInPandas(_tagger(trained().weights, with_text), schema)

@@ -81,4 +81,5 @@ def test_frame(frame):
     assert rows_of(got.where("doc_id = 1")) == [(1, 0, 0, 4), (1, 0, 0, 4), (1, 1, 5, 9), (1, 1, 5, 9)]
     assert rows_of(got.where("doc_id IS NULL")) == [(None, 0, 0, 5)]
     assert got.where("doc_id IN (2, 3, 4)").count() == 0 and got.where("doc_id = 5").count() > 0
+    assert [r.text for r in sentence_units(frame(rows[:1], schema), with_text=True).orderBy("unit_no").collect()] == ["One.", "Two."]
     assert sentence_units(frame([], schema)).count() == 0
