@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -29,7 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
         if not given:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            given = os.path.join(tempfile.gettempdir(), f"quarrystone-{os.getuid()}")
+            given = tempfile.mkdtemp(prefix="quarrystone-")
+            atexit.register(shutil.rmtree, given, ignore_errors=True)
         sc.setCheckpointDir(given)
     return given or sc._jsc.sc().getCheckpointDir().get()
 
@@ -85,7 +87,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_quarrystone_sent", False):
         return
     root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="quarrystone-")) / "quarrystone.zip"
+    folder = tempfile.mkdtemp(prefix="quarrystone-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "quarrystone.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))

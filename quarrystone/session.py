@@ -17,6 +17,7 @@ def local_session(cores: int | None = None, **conf: str) -> SparkSession:
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.adaptive.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     spark = SparkSession.builder.config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
