@@ -103,7 +103,7 @@ PAIRS = {"(": ")", "（": "）", "«": "»", "「": "」", "『": "』", "“":
 CLOSERS = set("".join(PAIRS.values()))
 OPENERS = {c: [o for o in PAIRS if c in PAIRS[o]] for c in CLOSERS}
 TRAILING = "”\"»)]」』）’"
-THAI = "฀-๿"
+THAI = "\u0e01-\u0e3a\u0e40-\u0e4e"  # letters and marks, no digits
 QUOTES = "\"“”„«»「」『』"
 EVENT = re.compile(rf"[{END}]+|[\"“”„«»「」『』()（）‘’']|(?<=[{THAI}{QUOTES}])\s+(?=[{THAI}{QUOTES}])")
 MARKER = re.compile(r"[^\S\n]*(?:#|- |\d+\.(?=\s)|\[)")
@@ -114,6 +114,10 @@ NEXT = re.compile(r"[\wऀ-෿ั-๎]{1,9}")
 INSIDE, BOUNDARY = 0, 1
 
 
+def is_thai(c: str) -> bool:
+    return "\u0e01" <= c <= "\u0e3a" or "\u0e40" <= c <= "\u0e4e"
+
+
 def line_groups(text: str) -> Iterator[tuple[int, int]]:
     """(begin, end) of the line groups: runs of lines between blank ones, cut before a line that begins with a mark."""
     begin, at = None, 0
@@ -179,7 +183,7 @@ def _next(text: str, at: int, end: int) -> tuple[str, str]:
     if at >= end:
         return "end", ""
     c = text[at]
-    kind = "U" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "t" if "฀" <= c <= "๿" else "o" if c.isalpha() else "q" if c in PAIRS else "i" if c in "¿¡" else "p"
+    kind = "U" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "t" if is_thai(c) else "o" if c.isalpha() else "q" if c in PAIRS else "i" if c in "¿¡" else "p"
     word = NEXT.match(text, at)
     return ("_" if at > here else "") + kind, word.group().lower() if word else ""
 
@@ -237,8 +241,8 @@ def candidates(text: str, begin: int, end: int) -> list[Candidate]:
         k += 1
         if mark.isspace():
             sides = text[e.start() - 1] + text[e.end()]
-            if any("฀" <= c <= "๿" for c in sides):
-                out.append(Candidate(e.start(), ("thai", *("t" if "฀" <= c <= "๿" else "q" for c in sides)), ""))
+            if any(map(is_thai, sides)):
+                out.append(Candidate(e.start(), ("thai", *("t" if is_thai(c) else "q" for c in sides)), ""))
         elif mark[0] in END:
             stop = e.end()
             while stop < end and text[stop] in TRAILING:

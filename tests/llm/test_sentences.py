@@ -61,6 +61,11 @@ def test_model_fits_the_sample():
     assert trained().weights == trained.__wrapped__().weights
 
 
+def test_thai_digits_are_no_letters():
+    text = "มีแมว \u0e51\u0e52 ตัว นกบิน"
+    assert [text[a:b] for a, b in units(text, trained())] == ["มีแมว \u0e51\u0e52 ตัว", "นกบิน"]
+
+
 def test_unclosed_marks_enclose_nothing():
     text = "He said “go. Then he left. (And so. It ended"
     assert [text[a:b] for a, b in units(text, trained())] == ["He said “go.", "Then he left.", "(And so.", "It ended"]
