@@ -30,6 +30,18 @@ NAME, ENTRY, PART = "\u0001", "\u0002", "\u0003"
 LINE = r"^\s*[\p{L}\p{N}\p{M}_-]+\s*:.*$"
 
 
+def one_object(text: Column) -> Column:
+    """The entries of a text that is one JSON object from its first to its last character, else NULL.
+
+    from_json reads the first value of a text and ignores the rest. So the text is put into an array before a digest of
+    itself: an array of these two alone was read to its end, and no text can hold its own digest.
+    """
+    end = F.md5(text)
+    listed = F.when(text.startswith("{") & text.endswith("}"), F.concat(F.lit("["), text, F.lit(',{"":"'), end, F.lit('"}]')))
+    read = F.from_json(listed, "array<map<string,string>>")
+    return F.when((F.size(read) == 2) & (F.element_at(F.get(read, F.lit(1)), "") == end), F.get(read, F.lit(0)))
+
+
 def canonical(title: Column, body: Column) -> Column:
     """Title and body as lower-cased letters; a form as the set of its entries.
 
@@ -38,7 +50,7 @@ def canonical(title: Column, body: Column) -> Column:
     """
     text = F.coalesce(body, F.lit(""))
     trimmed = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
-    as_json = F.from_json(trimmed, "map<string,string>")
+    as_json = one_object(trimmed)
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "")
     as_lines = (F.size(lines) >= 2) & F.forall(lines, lambda x: x.rlike(LINE))
     joined = lambda pairs: F.concat(F.lit(PART), F.array_join(F.array_sort(F.array_distinct(pairs)), ENTRY))
@@ -48,7 +60,7 @@ def canonical(title: Column, body: Column) -> Column:
         lambda x: F.concat(letters(F.regexp_extract(x, r"^([^:]*):", 1)), F.lit(NAME), letters(F.regexp_extract(x, r"(?s)^[^:]*:(.*)$", 1))),
     )
     form = (
-        F.when(trimmed.startswith("{") & trimmed.endswith("}") & as_json.isNotNull(), joined(json_pairs))
+        F.when(as_json.isNotNull(), joined(json_pairs))
         .when(text.contains(":") & text.contains("\n") & as_lines, joined(line_pairs))
         .otherwise(letters(text))
     )

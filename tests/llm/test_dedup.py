@@ -49,6 +49,21 @@ def test_against_brute_force(frame):
     assert rows_of(dedup.copies(frame(rows, SCHEMA))) == brute([r for r in rows if r[0] not in (24, 25)])
 
 
+FIRST = '{"a": "x"}'
+#: Bodies of more than one JSON object, or of one and something else; no two are copies, nor is any a form.
+NOT_ONE_OBJECT = [
+    FIRST + '\n{"b": "y"}', FIRST + ' {"b": "z"}', FIRST + " tail }", FIRST + ',{"b": "u"}', FIRST + '],[{"b": "v"}', FIRST + ',{"b": "w"}],[{}', FIRST + "\n\nlog: {7}",
+    FIRST + ', "q": {}', FIRST + ',null,{"c": 8}',
+]
+
+
+def test_only_a_whole_body_is_an_object(frame):
+    bodies = [FIRST, *NOT_ONE_OBJECT, '  {"A":"X"}\n']
+    rows = [(k, "t", b, "d", 1) for k, b in enumerate(bodies)]
+    assert rows_of(dedup.copies(frame(rows, SCHEMA))) == [(0, len(bodies) - 1)] == brute(rows)
+    assert rows_of(dedup.distinct_records(frame(rows, SCHEMA))) == [(0, 2), *((k, 1) for k in range(1, len(bodies) - 1))]
+
+
 def test_counts_keep_every_row(frame):
     rows = [(*r, "d", 1) for r in ROWS] * 3
     got = dedup.distinct_records(frame(rows, SCHEMA))
