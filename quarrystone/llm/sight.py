@@ -30,7 +30,23 @@ UNSEEN = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\ufeff"
 JOINER = "\u200d"
 # Hyphens that look like the ordinary one.
 HYPHENS = "\u2010\u2011"
-EMOJI = "\U0001f000-\U0001faff\u2190-\u21ff\u2300-\u27bf\u2b00-\u2bff"
+EMOJI = "\U0001f000-\U0001faff\u2190-\u21ff\u2300-\u2328\u232b-\u27bf\u2b00-\u2bff"
+JOINED = f"[{EMOJI}]\ufe0f?(?:{JOINER}[{EMOJI}]\ufe0f?)+"
+# Classes of <compat> characters that show just what they stand for: the micro sign, digraphs and
+# ligatures of letters, L with a dot, Arabic letters with high hamza, Lao and Tibetan digraphs, degrees, Hebrew letters as symbols,
+# roman numerals, radicals, Hangzhou tens. Not among them: Greek variants of another shape,
+# punctuation, enclosed, squared or raised letters, and Hangul compatibility letters: those they stand for join to
+# syllables, and come out as compatibility letters only where they stand alone.
+SAME_GLYPH = re.compile(
+    "[\u00b5\u0132-\u01f3\u0587\u0675-\u0678\u0edc\u0edd\u0f77\u0f79\u2103\u2109\u2135-\u2138\u2160-\u217f\u2e9f\u2ef3\u2f00-\u2fd5\u3038-\u303a\ufb00-\ufb4f]"
+)
+# Thai and Lao AM written as ring and AA, with tone marks before or after the ring; it comes out as one character.
+AM = re.compile("([\u0e48-\u0e4b]*)\u0e4d([\u0e48-\u0e4b]*)\u0e32|([\u0ec8-\u0ecb]*)\u0ecd([\u0ec8-\u0ecb]*)\u0eb2")
+# Conjoining Hangul letters (leading, vowel, trailing; syllables) that join neither the one before nor the one after.
+_L, _V, _T, _S = "\u1100-\u115f\ua960-\ua97c", "\u1160-\u11a7\ud7b0-\ud7c6", "\u11a8-\u11ff\ud7cb-\ud7fb", "\uac00-\ud7a3"
+CONJOINING = re.compile(f"[{_L}{_V}{_T}]")
+ALONE = re.compile(f"(?<![{_L}])[{_L}](?![{_L}{_V}{_S}])|(?<![{_L}{_V}{_S}])[{_V}](?![{_V}{_T}])|(?<![{_V}{_T}{_S}])[{_T}](?![{_T}])")
+ALONE_AS = {ud.normalize("NFKC", c): c for c in map(chr, range(0x3131, 0x318F))}
 
 
 def _same_sight(c: str) -> str | None:
@@ -38,12 +54,12 @@ def _same_sight(c: str) -> str | None:
     kind = ud.decomposition(c).partition(" ")[0]
     if ud.category(c) == "Zs":
         return " "
+    if "\uffa0" <= c <= "\uffdc":  # half-width Hangul letters: as the ordinary ones, which don't join either
+        return chr(int(ud.decomposition(c).split()[1], 16))
+    out = ud.normalize("NFKC", c)
     if kind in ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>"):
-        out = ud.normalize("NFKC", c)
         return out if out.strip() and not out.startswith(" ") else None
-    letters = kind == "<compat>" and (0x0132 <= ord(c) <= 0x01F3 or 0xFB00 <= ord(c) <= 0xFB4F or 0x2160 <= ord(c) <= 0x217F)
-    out = ud.normalize("NFKC", c)
-    return out if letters and all(ud.category(x)[0] in "LM" for x in out) else None
+    return out if kind == "<compat>" and SAME_GLYPH.match(c) else None
 
 
 @lru_cache(1)
@@ -60,10 +76,11 @@ def mapping() -> dict[str, str]:
             seen.add(then)
             now = then
         out[c] = ud.normalize("NFC", now)
-    # A letter that is a mapped base with a mark (as U+0451) maps to the mapped base with that mark.
-    for i in range(0x80, 0x2000):
-        c, d = chr(i), ud.normalize("NFD", chr(i))
-        if c not in out and (then := ud.normalize("NFC", "".join(out.get(x, x) for x in d))) != c:
+    # A letter that is a mapped base with a mark (as U+0451) maps to the mapped base with that mark, and one that is
+    # canonically another text (as U+212B, U+F900) to that. No character without a decomposition of its own can be either.
+    for i in range(0x80, sys.maxunicode + 1):
+        c, d = chr(i), ud.normalize("NFD", chr(i)) if ud.decomposition(chr(i)) else ""
+        if d and c not in out and (then := ud.normalize("NFC", "".join(out.get(x, x) for x in d))) != c:
             out[c] = then
     for c, s in out.items():
         if any(x in out for x in s):
@@ -71,6 +88,17 @@ def mapping() -> dict[str, str]:
     return out
 
 
+def _class(chars: str) -> str:
+    """A class of characters by ranges: beyond U+FFFF, re tries its members one after another."""
+    parts: list[list[int]] = []
+    for i in sorted(set(map(ord, chars))):
+        if parts and parts[-1][1] == i - 1:
+            parts[-1][1] = i
+        else:
+            parts.append([i, i])
+    return f"[{''.join(f'{re.escape(chr(a))}-{re.escape(chr(b))}' for a, b in parts)}]"
+
+
 @lru_cache(1)
 def _compiled() -> tuple[re.Pattern[str], dict[str, str]]:
     single = mapping()
@@ -78,9 +106,8 @@ def _compiled() -> tuple[re.Pattern[str], dict[str, str]]:
     composing = {x for c in every for x in ud.normalize("NFD", c)[1:]}  # also the later letters of a Korean syllable
     marks = "".join(c for c in every if ud.combining(c) or c in composing)
     marks += "".join(c for c, s in single.items() if s and ud.combining(s[0]))  # half-width sound marks
-    m, unseen, keys = (f"[{re.escape(x)}]" for x in (marks, UNSEEN, "".join(single)))
-    joined = f"[{EMOJI}]\ufe0f?(?:{JOINER}[{EMOJI}]\ufe0f?)+"
-    return re.compile(f"{joined}|[^\\s{unseen[1:-1]}](?:{unseen}*{m})+|{keys}"), {}
+    m, unseen, keys = map(_class, (marks, UNSEEN, "".join(single)))
+    return re.compile(f"{JOINED}|[^\\s{unseen[1:-1]}](?:{unseen}*{m})+|{keys}"), {}
 
 
 def consistent(text: str) -> str:
@@ -95,7 +122,7 @@ def consistent(text: str) -> str:
         if (y := known.get(x)) is None:
             if x in single:
                 y = single[x]
-            elif JOINER in x and re.match(f"[{EMOJI}]", x) and not any(ud.combining(c) for c in x):
+            elif re.fullmatch(JOINED, x):
                 y = x
             else:
                 y = ud.normalize("NFC", "".join(single.get(c, c) for c in ud.normalize("NFD", x)))
@@ -103,7 +130,12 @@ def consistent(text: str) -> str:
                 known[x] = y
         return y
 
-    return pattern.sub(one, text)
+    done = pattern.sub(one, text)
+    if CONJOINING.search(done):
+        done = ALONE.sub(lambda m: ALONE_AS.get(m[0], m[0]), done)
+    if "\u0e4d" in done or "\u0ecd" in done:
+        done = AM.sub(lambda m: f"{m[1]}{m[2]}\u0e33" if m[3] is None else f"{m[3]}{m[4]}\u0eb3", done)
+    return done
 
 
 @F.pandas_udf(T.StringType())

@@ -18,6 +18,30 @@ SAME = [
 DIFFERENT = [("a", "A"), ("cafe", "café"), ("a b", "a  b"), ("a\tb", "a b"), ("a\nb", "a b"), ("👩‍💻", "👩💻"), ("…", "..."), ("x²", "x2"), ("“a”", '"a"'), ("①", "1"), ("a.", "a")]
 
 
+# Canonically the same, and compatibility characters of the same glyph; as escapes, since editors may normalize them.
+SAME_ESCAPED = [
+    ("\u212b", "\u00c5"), ("\u212b", "A\u030a"), ("\u212a", "K"), ("\u2126", "\u03a9"), ("\uf900", "\u8c48"), ("\U0002f800", "\u4e3d"), ("\ufb2a", "\u05e9\u05c1"), ("\u2329\u200d\u2329", "\u3008\u3008"),
+    ("\u00b5", "\u03bc"), ("\u0e33", "\u0e4d\u0e32"), ("\u0e19\u0e49\u0e33", "\u0e19\u0e4d\u0e49\u0e32"), ("\u0eb3", "\u0ecd\u0eb2"), ("\u0edc", "\u0eab\u0e99"), ("\u0587", "\u0565\u0582"), ("\u2f00", "\u4e00"),
+    ("\u0675", "\u0627\u0674"), ("\u0140", "l\u00b7"), ("\u2103", "\u00b0C"), ("\u2135", "\u05d0"), ("\uffa1\uffc2", "\u3131\u314f"), ("\uffa1", "\u1100"), ("\u1100", "\u3131"), ("a\u1161", "a\u314f"), ("\u1100\u1161", "\uac00"),
+]
+DIFFERENT_ESCAPED = [("\u3131\u314f", "\uac00"), ("\uffa1\uffc2", "\u1100\u1161"), ("\u03d1", "\u03b8"), ("\u2116", "No"), ("\u2474", "(1)")]
+
+
+@pytest.mark.parametrize(("a", "b"), SAME_ESCAPED)
+def test_same_escaped(a, b):
+    assert consistent(a) == consistent(b) == consistent(consistent(a))
+
+
+@pytest.mark.parametrize(("a", "b"), DIFFERENT_ESCAPED)
+def test_different_escaped(a, b):
+    assert consistent(a) != consistent(b)
+
+
+def test_every_canonical_equivalent():
+    for c in (chr(i) for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000):
+        assert consistent(c) == consistent(unicodedata.normalize("NFC", c)) == consistent(unicodedata.normalize("NFD", c)), hex(ord(c))
+
+
 @pytest.mark.parametrize(("a", "b"), SAME)
 def test_same(a, b):
     assert consistent(a) == consistent(b)
