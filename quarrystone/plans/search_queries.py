@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.config import ChunkingConfig, FileQuery, Mode, RecordQuery
-from quarrystone.functions.frames import table
+from quarrystone.functions.frames import cut, table
 from quarrystone.functions.matching import trimmed
 from quarrystone.operators import baselines, files, grams, ignore, postings, records, search, store
 from quarrystone.operators.globs import glob_regex
@@ -143,6 +143,17 @@ def active_chunks(spark: SparkSession, d: str) -> DataFrame:
     return base.join(keys, ["collection", "record_id"], "left_anti").select("record_id", "collection", "field", "text").unionByName(records.units(new).select("record_id", "collection", "field", "text"))
 
 
+def active_set(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of a base without those of records that the feed replaces or deletes, and the chunks of those whose last
+    change is an upsert. active_chunks reads the feed's upserts only, and leaves their texts whole."""
+    feed = table(spark, d, "record_feed").withColumn("at", F.struct("arrived_at", "delivery_id"))
+    last = cut(records.latest_per_key(feed.select("op", *(c.split()[0] for c in records.RECORD_SCHEMA.split(", ")), "at"), "at"))
+    keys = last.select("collection", F.col("id").alias("record_id"))
+    base = _chunks(spark, d).join(keys, ["collection", "record_id"], "left_anti")
+    columns = ["record_id", "collection", "field", "text"]
+    return base.select(columns).unionByName(records.chunk_rows(last.where("op = 'upsert'")).select(columns))
+
+
 def change_detection(spark: SparkSession, d: str) -> DataFrame:
     """The first and the last snapshot of records as two listings of files."""
     s = table(spark, d, "record_snapshots")
@@ -248,6 +259,7 @@ QUERIES = {
     "delete_in_collection": delete_in_collection,
     "delete_in_all": delete_in_all,
     "active_chunks": active_chunks,
+    "active_set": active_set,
     "change_detection": change_detection,
     "file_matches": file_matches,
     "file_matches_context": file_matches_context,
