@@ -1,30 +1,37 @@
 """What changed between full snapshots, by invertible Bloom lookup tables.
 
-Every row of a snapshot becomes an element: 64 bits of its key and 64 bits of its whole content. Elements are summed
-into the cells of a small table per snapshot and hash bucket, on the map side first; a cell holds a count and sums, so
-subtracting the table of one snapshot from that of the next leaves only what differs, however large the snapshots are.
-Buckets are then peeled: a cell that holds copies of one element gives the element away, which is taken out of its
-other cells, and so on. A bucket that cannot be emptied is built again with four times the cells. The recovered keys
-are a superset of the changed ones; their rows, and no others, are compared exactly.
-
-Sums are used instead of exclusive-or so that a row which a snapshot repeats is an element of a larger count.
+Every row of a snapshot becomes an element: 48 bits of its key and 56 bits of its whole content. Each task sums its
+elements into the cells of a table per snapshot and hash bucket, in arrays, and packs what it has of a group of buckets
+into one value; these are all that is shuffled, once. A cell holds a count and sums, so subtracting the table of one
+snapshot from that of the next leaves only what differs, however large the snapshots are. A small sample of keys that is
+compared outright tells how many differences there are, and the tables are made for that many. Buckets are then peeled:
+a cell that holds copies of one element gives the element away, which is taken out of its other cells, and so on. A
+bucket that cannot be emptied is built again with twice the cells. The recovered keys are a superset of the changed
+ones; their rows, and no others, are compared exactly.
+
+Sums are used instead of exclusive-or so that a row which a snapshot repeats is an element of a larger count. They wrap
+around at more bits than an element has, so a cell of up to 255 copies, or of an odd multiple of them, can be divided.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarrystone.functions.frames import BROADCAST_ROWS, cut, entries, has_at_most, ship, small
 
-#: Rows of a snapshot that share a bucket, cells of each of a bucket's three tables at first, and rounds of enlarging.
-BUCKET_ROWS, CELLS, ROUNDS = 512, 64, 6
-#: One bucket in so many is peeled first, to learn how many cells the others need.
-PILOT = 16
-SUMS = ("n", "key_hi", "key_lo", "row_hi", "row_lo", "checks")
+#: Rows of a snapshot that share a bucket, the fewest cells of each of a bucket's three tables, and rounds of enlarging.
+BUCKET_ROWS, CELLS, ROUNDS = 4096, 8, 6
+#: Rows of a snapshot, about, whose keys are compared to learn how many cells are needed.
+SAMPLED = 4096
+#: Placements that a task holds before it sums them up.
+HELD = 2_000_000
+KEY_BITS, ROW_BITS, CHECK_BITS, SPARE = 48, 56, 16, 8
 LOW = 0xFFFFFFFF
 
 
@@ -46,103 +53,203 @@ def _hash_long(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _mask(bits: int) -> np.uint64:
+    return np.uint64((1 << bits) - 1)
+
+
 def check_word(key: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """The low 32 bits of xxhash64(key, row)."""
+    """The low bits of xxhash64(key, row), of two numbers."""
     with np.errstate(over="ignore"):
-        return (_hash_long(row, _hash_long(key, np.full(len(key), 42, np.uint64))) & np.uint64(LOW)).astype(np.int64)
+        return _hash_long(row, _hash_long(key, np.full(len(key), 42, np.uint64))) & _mask(CHECK_BITS)
 
 
 def places(row: np.ndarray, cells: int) -> np.ndarray:
-    return np.stack([((row >> np.uint64(21 * j)) & np.uint64(0x1FFFFF)).astype(np.int64) % cells for j in range(3)])
-
-
-def peel(table: np.ndarray, cells: int) -> list[tuple[int, int]] | None:
-    """(key, count) of every element left in a bucket's three tables (3 x cells x 6 sums); None if some cannot be told."""
-    t, out = table.copy(), []
-    while True:
-        j, at = np.nonzero(t[:, :, 0])
-        n, sums = t[j, at, 0], t[j, at, 1:]
-        whole = (sums % n[:, None] == 0).all(axis=1) if len(n) else np.zeros(0, bool)
-        each = sums[whole] // n[whole][:, None]
-        j, at, n = j[whole], at[whole], n[whole]
-        fits = ((each >= 0) & (each <= LOW)).all(axis=1)
-        each, j, at, n = each[fits], j[fits], at[fits], n[fits]
-        key = (each[:, 0].astype(np.uint64) << np.uint64(32)) | each[:, 1].astype(np.uint64)
-        row = (each[:, 2].astype(np.uint64) << np.uint64(32)) | each[:, 3].astype(np.uint64)
-        p = places(row, cells)
-        pure = (check_word(key, row) == each[:, 4]) & (p[j, np.arange(len(j))] == at)
-        if not pure.any():
-            return None if t.any() else out
-        _, first = np.unique(row[pure], return_index=True)
-        pick = np.nonzero(pure)[0][first]
-        for i in pick:
-            out.append((int(key[i].astype(np.int64)), int(n[i])))
-            for k in range(3):
-                t[k, p[k, i]] -= n[i] * np.concatenate(([1], each[i]))
-
-
-def _peeler(cells: int):
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        t = np.zeros((3, cells, len(SUMS)), np.int64)
-        t[g.j.to_numpy(), g.cell.to_numpy()] = g[list(SUMS)].to_numpy(np.int64)
-        found = peel(t, cells)
-        keys = [None] if found is None else sorted({k for k, _ in found})
-        return pd.DataFrame({"later": g.later.iloc[0], "bucket": g.bucket.iloc[0], "key": pd.array(keys, "Int64")})
+    """The cell of an element in each of the three tables."""
+    return np.stack([((row >> np.uint64(18 * j)) & _mask(18)).astype(np.int64) % cells for j in range(3)])
+
+
+class Cells:
+    """Cells by their place: counts, and sums that wrap around."""
+
+    def __init__(self, at: np.ndarray, n: np.ndarray, key: np.ndarray, row: np.ndarray, check: np.ndarray):
+        self.at, self.n, self.key, self.row, self.check = at, n, key, row, check
+
+    @classmethod
+    def none(cls) -> Cells:
+        empty = np.zeros(0, np.uint64)
+        return cls(np.zeros(0, np.int64), np.zeros(0, np.int64), empty, empty, empty)
+
+    @classmethod
+    def joined(cls, parts: list[Cells]) -> Cells:
+        return cls(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("at", "n", "key", "row", "check")))
+
+    def summed(self) -> Cells:
+        """The same with each place once, in order."""
+        if not len(self.at):
+            return self
+        order = np.argsort(self.at, kind="stable")
+        at = self.at[order]
+        starts = np.nonzero(np.concatenate(([True], at[1:] != at[:-1])))[0]
+        return Cells(at[starts], *(np.add.reduceat(x[order], starts) for x in (self.n, self.key, self.row, self.check)))
+
+    def part(self, a: int, b: int) -> Cells:
+        return Cells(self.at[a:b], self.n[a:b], self.key[a:b], self.row[a:b], self.check[a:b])
+
+    def packed(self, base: int) -> bytes:
+        """As bytes: places from base on as differences and counts, compressed; then the sums, as many bytes as count."""
+        steps = np.diff(self.at, prepend=base).astype(np.uint32)
+        index = zlib.compress(steps.tobytes() + self.n.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+        low = lambda x, bits: np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, : bits // 8].tobytes()
+        return np.array([len(self.at), len(index)], np.uint32).tobytes() + index + low(self.key, KEY_BITS + SPARE) + low(self.row, 64) + low(self.check, CHECK_BITS)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Cells:
+        """Places count from 0."""
+        m, size = (int(x) for x in np.frombuffer(data, np.uint32, 2))
+        index, at = zlib.decompress(data[8 : 8 + size]), 8 + size
+        out = []
+        for bits in (KEY_BITS + SPARE, 64, CHECK_BITS):
+            wide = np.zeros((m, 8), np.uint8)
+            wide[:, : bits // 8] = np.frombuffer(data, np.uint8, m * bits // 8, at).reshape(m, -1)
+            out.append(wide.view(np.uint64).ravel())
+            at += m * bits // 8
+        n = np.ascontiguousarray(np.frombuffer(index, np.uint8, 8 * m, 4 * m).reshape(8, m).T).view(np.int64).ravel()
+        return cls(np.cumsum(np.frombuffer(index, np.uint32, m).astype(np.int64)), n, *out)
+
+
+def _inverse(odd: np.ndarray) -> np.ndarray:
+    """Of odd numbers, modulo 2^64."""
+    x = (odd * np.uint64(3)) ^ np.uint64(2)
+    for _ in range(4):
+        x = x * (np.uint64(2) - odd * x)
+    return x
+
+
+def peel(n: np.ndarray, key: np.ndarray, row: np.ndarray, check: np.ndarray, cells: int, buckets: int, first: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, counts, buckets that cannot be emptied) of the elements in the difference of two tables.
+
+    The arrays hold the cells of successive buckets from the first on, three tables of so many cells each, and are
+    changed. The key of an element gives its bucket of all the buckets, its row its cells.
+    """
+    keys, counts = [], []
+    with np.errstate(over="ignore"):
+        key &= _mask(KEY_BITS + SPARE)
+        check &= _mask(CHECK_BITS)
+        while True:
+            at = np.nonzero(n)[0]
+            m = n[at]
+            low = m & -m
+            twos = np.log2(low.astype(float)).astype(np.uint64)
+            inverse = _inverse((m >> twos.astype(np.int64)).astype(np.uint64))
+            r = ((row[at] >> twos) * inverse) & (_mask(64) >> twos)
+            k = ((key[at] >> twos) * inverse) & (_mask(KEY_BITS + SPARE) >> twos)
+            fits = (twos <= SPARE) & (r <= _mask(ROW_BITS)) & (k <= _mask(KEY_BITS)) & (row[at] == r * m.astype(np.uint64))
+            at, m, r, k = at[fits], m[fits], r[fits], k[fits]
+            word = check_word(k, r)
+            p = places(r, cells) + (np.arange(3) * cells)[:, None] + ((k % np.uint64(buckets)).astype(np.int64) - first) * 3 * cells
+            pure = (p[at // cells % 3, np.arange(len(at))] == at) & ((word * m.astype(np.uint64)) & _mask(CHECK_BITS) == check[at])
+            if not pure.any():
+                break
+            _, once = np.unique(r[pure], return_index=True)
+            pick = np.nonzero(pure)[0][once]
+            m, r, k, word, p = m[pick], r[pick], k[pick], word[pick], p[:, pick].ravel()
+            keys.append(k)
+            counts.append(m)
+            np.subtract.at(n, p, np.tile(m, 3))
+            for sums, each in ((key, k), (row, r), (check, word)):
+                np.subtract.at(sums, p, np.tile(each * m.astype(np.uint64), 3))
+            key &= _mask(KEY_BITS + SPARE)
+            check &= _mask(CHECK_BITS)
+    left = np.nonzero((n != 0) | (key != 0) | (row != 0) | (check != 0))[0]
+    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+    return join(keys, np.uint64), join(counts, np.int64), np.unique(left // (3 * cells)) + first
+
+
+def _tables(numbers: list[int], buckets: int, in_group: int, cells: int):
+    """Tasks' elements to packed cells of groups of buckets."""
+    width = len(numbers) * 3 * cells  # places of a bucket
+
+    def out(held: Cells) -> Iterator[pd.DataFrame]:
+        group = held.at // (in_group * width)
+        starts = np.nonzero(np.diff(group, prepend=-1))[0]
+        ends = np.append(starts[1:], len(group))
+        for k in range(0, len(starts), 1000):
+            parts = [(int(group[a]), held.part(a, b).packed(int(group[a]) * in_group * width)) for a, b in zip(starts[k : k + 1000], ends[k : k + 1000], strict=True)]
+            yield pd.DataFrame(parts, columns=["group", "cells"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        order = np.array(numbers)
+        for b in batches:
+            key, row = b.key.to_numpy(np.int64).astype(np.uint64), b.row.to_numpy(np.int64).astype(np.uint64)
+            table = (key % np.uint64(buckets)).astype(np.int64) * len(order) + np.searchsorted(order, b.snapshot_no.to_numpy())
+            at = places(row, cells) + (np.arange(3) * cells)[:, None] + table * 3 * cells
+            held.append(Cells(at.ravel(), np.ones(3 * len(b), np.int64), *(np.tile(x, 3) for x in (key, row, check_word(key, row)))))
+            size += 3 * len(b)
+            if size > HELD:
+                held = [Cells.joined(held).summed()]
+                size = len(held[0].at)
+                if size > HELD // 2:
+                    yield from out(held[0])
+                    held, size = [], 0
+        if held:
+            yield from out(Cells.joined(held).summed())
 
     return run
 
 
-def _differing(elements: DataFrame, roles: DataFrame, cells: int, only: DataFrame | None = None) -> DataFrame:
-    """later, bucket, key of the elements in which two snapshots differ; key NULL for a bucket that needs more cells.
-    only: later and bucket of the tables to make."""
-    low = F.lit(LOW).cast("long")
-    place = lambda j: F.pmod(F.shiftrightunsigned("row", 21 * j).bitwiseAND(F.lit(0x1FFFFF).cast("long")), F.lit(cells)).cast("int")
-    spread = elements.select("snapshot_no", "bucket", "key", "row", F.posexplode(F.array(*(place(j) for j in range(3)))).alias("j", "cell"))
-    table = spread.groupBy("snapshot_no", "bucket", "j", "cell").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.shiftrightunsigned("key", 32)).alias("key_hi"),
-        F.sum(F.col("key").bitwiseAND(low)).alias("key_lo"),
-        F.sum(F.shiftrightunsigned("row", 32)).alias("row_hi"),
-        F.sum(F.col("row").bitwiseAND(low)).alias("row_lo"),
-        F.sum(F.xxhash64("key", "row").bitwiseAND(low)).alias("checks"),
-    )
-    signed = table.join(F.broadcast(roles), "snapshot_no")
-    if only is not None:
-        signed = signed.join(small(only, 10 * BROADCAST_ROWS), ["later", "bucket"], "left_semi")
-    left = (
-        signed.groupBy("later", "bucket", "j", "cell")
-        .agg(*(F.sum(F.col(c) * F.col("sign")).alias(c) for c in SUMS))
-        .where(" OR ".join(f"{c} <> 0" for c in SUMS))
-    )
-    return left.groupBy("later", "bucket").applyInPandas(_peeler(cells), "later int, bucket long, key long")
+def _peeler(numbers: list[int], buckets: int, in_group: int, cells: int):
+    """A group's packed cells to the keys in which a snapshot and the one before it differ."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        first = int(g.group.iloc[0]) * in_group
+        shape = (in_group, len(numbers), 3 * cells)
+        n, key, row, check = np.zeros(shape, np.int64), *(np.zeros(shape, np.uint64) for _ in range(3))
+        for data in g.cells:
+            c = Cells.unpacked(data)
+            for sums, each in ((n, c.n), (key, c.key), (row, c.row), (check, c.check)):
+                sums.ravel()[c.at] += each
+        found = []
+        for k in range(1, len(numbers)):
+            diff = [(x[:, k] - x[:, k - 1]).ravel() for x in (n, key, row, check)]
+            keys, _, failed = peel(*diff, cells, buckets, first)
+            keys = np.unique(keys).astype(np.int64)
+            found.append(pd.DataFrame({"later": numbers[k], "bucket": (keys % buckets), "key": pd.array(keys, "Int64")}))
+            found.append(pd.DataFrame({"later": numbers[k], "bucket": failed, "key": pd.array([None] * len(failed), "Int64")}))
+        return pd.concat(found)[["later", "bucket", "key"]]
+
+    return run
 
 
-def _recovered(elements: DataFrame, roles: DataFrame, cells: int) -> DataFrame:
-    """later, key of all elements in which a snapshot and the one before it differ; failed buckets are enlarged, and
-    those that fail in every round count as different in all their keys."""
-    found, failed, todo = None, None, elements
+def changed_keys(elements: DataFrame, numbers: list[int], buckets: int, cells: int) -> DataFrame:
+    """later, key of all elements in which a snapshot and the one before it differ, and maybe of some others; failed
+    buckets are enlarged, and those that fail in every round count as different in all their keys."""
+    in_group = max(1, min(16, 256 // len(numbers), buckets // 64))
+    found, todo = None, elements
     for _ in range(ROUNDS):
-        got = cut(_differing(todo, roles, cells, failed))
+        packed = todo.mapInPandas(_tables(numbers, buckets, in_group, cells), "group long, cells binary")
+        got = cut(packed.groupBy("group").applyInPandas(_peeler(numbers, buckets, in_group, cells), "later int, bucket long, key long"))
         keys = got.where("key IS NOT NULL").select("later", "key")
         found = keys if found is None else found.unionByName(keys)
-        failed = got.where("key IS NULL").select("later", "bucket")
+        failed = got.where("key IS NULL").select("bucket").distinct()
         if has_at_most(failed, 0):
-            return found
-        again = failed.join(F.broadcast(roles), "later").select("snapshot_no", "bucket").distinct()
-        todo, cells = elements.join(small(again, 10 * BROADCAST_ROWS), ["snapshot_no", "bucket"], "left_semi"), cells * 4
-    rest = elements.join(failed.join(F.broadcast(roles), "later"), ["snapshot_no", "bucket"]).select("later", "key")
-    return found.unionByName(rest)
+            return found.distinct()
+        todo = elements.join(small(failed, 10 * BROADCAST_ROWS), F.pmod("key", F.lit(buckets)) == failed["bucket"], "left_semi")
+        cells = min(1 << 18, cells * 2)
+    after = dict(zip(numbers, numbers[1:], strict=False))
+    both = F.array_compact(F.array(F.when(F.col("snapshot_no") != numbers[0], F.col("snapshot_no")), F.element_at(F.create_map(*(F.lit(x) for p in after.items() for x in p)), F.col("snapshot_no"))))
+    return found.unionByName(todo.select(F.explode(both).alias("later"), "key")).distinct()
 
 
-def changed_keys(elements: DataFrame, roles: DataFrame, buckets: int) -> DataFrame:
-    """The same, each once. Every sixteenth bucket goes first; how much it holds sets the cells of the others."""
-    if buckets < 4 * PILOT:
-        return _recovered(elements, roles, CELLS).distinct()
-    pilot = cut(_recovered(elements.where(F.col("bucket") % PILOT == 0), roles, CELLS))
-    pairs = roles.select("later").distinct().count()
-    each = 2 * pilot.count() / (-(-buckets // PILOT) * max(1, pairs))  # a changed key is two elements
-    cells = max(CELLS // 4, int(1.45 * (each + 4 * each**0.5) / 3) + 4)
-    return pilot.unionByName(_recovered(elements.where(F.col("bucket") % PILOT != 0), roles, cells)).distinct()
+def _cells_needed(elements: DataFrame, roles: DataFrame, largest: int, buckets: int) -> int:
+    """Cells of each table, from the differences of the pair of snapshots that differs most, as the keys of about
+    SAMPLED rows of a snapshot tell. Too few cells cost a further round, no result."""
+    share = max(1, largest // SAMPLED)
+    sample = elements.where(F.pmod("key", F.lit(share)) == 0).join(F.broadcast(roles), "snapshot_no")
+    differ = sample.groupBy("later", "key", "row").agg(F.sum("sign").alias("n")).where("n <> 0")
+    most = differ.groupBy("later").count().agg(F.max("count")).first()[0] or 0
+    each = most * share / buckets
+    return max(CELLS, int(1.28 * (each + 4.2 * each**0.5) / 3) + 4)
 
 
 def snapshot_changes(snapshots: DataFrame) -> DataFrame:
@@ -152,24 +259,26 @@ def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     smallest time; of equal times, the row with the larger digest counts. Rows without a snapshot_no are left out. NULL
     is a collection or id like any other. Columns besides the record columns are not read, so they cannot clash.
     """
-    ship(snapshots.sparkSession)
+    spark = snapshots.sparkSession
+    ship(spark)
     base = snapshots.where("snapshot_no IS NOT NULL").select(
         F.col("snapshot_no").cast("int").alias("snapshot_no"),
         "collection",
         "id",
         F.col("updated_at_epoch_seconds").alias("at"),
         content_digest().alias("digest"),
-        F.xxhash64(F.coalesce("collection", F.lit("\u0000")), F.lit("\u0001"), F.coalesce("id", F.lit("\u0000"))).alias("key"),
+        F.shiftrightunsigned(F.xxhash64(F.coalesce("collection", F.lit("\u0000")), F.lit("\u0001"), F.coalesce("id", F.lit("\u0000"))), 64 - KEY_BITS).alias("key"),
     )
-    base = cut(base.withColumn("row", F.xxhash64("key", F.coalesce("at", F.lit(-(2**62))), "digest")))
-    sizes = base.groupBy("snapshot_no").agg(F.count(F.lit(1)).alias("rows"))
-    order = cut(sizes.select("snapshot_no", "rows", F.lag("snapshot_no").over(Window.orderBy("snapshot_no")).alias("before")))
-    pairs = order.where("before IS NOT NULL").select(F.col("snapshot_no").alias("later"), "before")
-    roles = pairs.select(F.col("later").alias("snapshot_no"), "later", F.lit(1).alias("sign")).unionByName(pairs.select(F.col("before").alias("snapshot_no"), "later", F.lit(-1).alias("sign")))
-    largest = order.agg(F.max("rows")).first()[0] or 1
-    buckets = max(1, -(-largest // BUCKET_ROWS))
-    elements = base.select("snapshot_no", F.pmod("key", F.lit(buckets)).cast("long").alias("bucket"), "key", "row")
-    keys = changed_keys(elements, roles, buckets)
+    base = cut(base.withColumn("row", F.shiftrightunsigned(F.xxhash64("key", F.coalesce("at", F.lit(-(2**62))), "digest"), 64 - ROW_BITS)))
+    sizes = base.groupBy("snapshot_no").agg(F.count(F.lit(1)).alias("rows")).orderBy("snapshot_no").collect()  # a row for each snapshot
+    if len(sizes) < 2:
+        return spark.createDataFrame([], "snapshot_no int, collection string, id string, change string")
+    numbers, largest = [r.snapshot_no for r in sizes], max(r.rows for r in sizes)
+    pairs = list(zip(numbers, numbers[1:], strict=False))
+    roles = spark.createDataFrame([(b, b, 1) for _, b in pairs] + [(a, b, -1) for a, b in pairs], "snapshot_no int, later int, sign int")
+    buckets = -(-largest // BUCKET_ROWS)
+    elements = base.select("snapshot_no", "key", "row")
+    keys = changed_keys(elements, numbers, buckets, _cells_needed(elements, roles, largest, buckets))
     sought = keys.join(F.broadcast(roles), "later")
     rows = base.select("snapshot_no", "collection", "id", "key", F.struct(F.col("at").isNotNull(), "at", "digest").alias("version"))
     if has_at_most(sought, BROADCAST_ROWS):
@@ -181,4 +290,3 @@ def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     both = sides.agg(current(1).alias("now"), current(-1).alias("then"))
     change = F.when(F.col("then").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("now") != F.col("then"), "changed")
     return both.select(F.col("later").alias("snapshot_no"), "collection", "id", change.alias("change")).where("change IS NOT NULL")
-

@@ -62,8 +62,11 @@ def test_buckets_are_enlarged_until_all_is_told(frame, monkeypatch, cells, round
     assert rows_of(snapshots.snapshot_changes(frame(rows, SCHEMA))) == brute(rows)
 
 
-def test_pilot_buckets(frame, monkeypatch):
+@pytest.mark.parametrize("held", [10, 2_000_000])
+def test_many_buckets_and_sample(frame, monkeypatch, held):
     monkeypatch.setattr(snapshots, "BUCKET_ROWS", 8)
+    monkeypatch.setattr(snapshots, "SAMPLED", 100)
+    monkeypatch.setattr(snapshots, "HELD", held)
     rows = made(600, 5)
     assert rows_of(snapshots.snapshot_changes(frame(rows, SCHEMA))) == brute(rows)
 
@@ -81,21 +84,40 @@ def test_empty_and_single(frame):
 
 
 def test_check_word_is_the_engines_hash(frame):
-    r = frame([(1, 2), (-5, 2**62)], "a long, b long").selectExpr("a", "b", "xxhash64(a, b) & 4294967295 AS h").collect()
+    r = frame([(1, 2), (-5, 2**62)], "a long, b long").selectExpr("a", "b", "xxhash64(a, b) & 65535 AS h").collect()
     got = snapshots.check_word(np.array([x.a for x in r]).astype(np.uint64), np.array([x.b for x in r]).astype(np.uint64))
     assert got.tolist() == [x.h for x in r]
 
 
+def made_table(key, row, n, cells, buckets):
+    at = snapshots.places(row, cells) + (np.arange(3) * cells)[:, None] + (key % np.uint64(buckets)).astype(np.int64) * 3 * cells
+    t = [np.zeros(3 * cells * buckets, np.int64), *(np.zeros(3 * cells * buckets, np.uint64) for _ in range(3))]
+    for sums, each in zip(t, (np.ones(len(n), np.int64), key, row, snapshots.check_word(key, row)), strict=True):
+        np.add.at(sums, at.ravel(), np.tile(each * n.astype(each.dtype), 3))
+    return t
+
+
 def test_peel():
     rng = np.random.default_rng(1)
-    cells = 64
-    key, row = rng.integers(0, 2**63, 100).astype(np.uint64), rng.integers(0, 2**63, 100).astype(np.uint64)
-    n = rng.choice([-3, -1, 1, 2], 100)
-    t = np.zeros((3, cells, 6), np.int64)
-    for i, p in enumerate(snapshots.places(row, cells).T):
-        each = np.array([1, key[i] >> np.uint64(32), key[i] & np.uint64(2**32 - 1), row[i] >> np.uint64(32), row[i] & np.uint64(2**32 - 1), snapshots.check_word(key[i : i + 1], row[i : i + 1])[0]]).astype(np.int64)
-        for j in range(3):
-            t[j, p[j]] += n[i] * each
-    got = snapshots.peel(t, cells)
-    assert sorted(got) == sorted(zip(key.astype(np.int64).tolist(), n.tolist(), strict=True))
-    assert snapshots.peel(t[:, :1], 1) is None and snapshots.peel(np.zeros_like(t), cells) == []
+    key, row = rng.integers(0, 2**48, 400).astype(np.uint64), rng.integers(0, 2**56, 400).astype(np.uint64)
+    n = rng.choice([-3, -1, 1, 2, 255, 256, -1000, 10**9 + 1], 400)
+    keys, counts, failed = snapshots.peel(*made_table(key, row, n, 64, 4), 64, 4)
+    assert not len(failed) and sorted(zip(keys.tolist(), counts.tolist(), strict=True)) == sorted(zip(key.tolist(), n.tolist(), strict=True))
+    _, _, failed = snapshots.peel(*made_table(key, row, n, 4, 4), 4, 4)
+    assert failed.tolist() == [0, 1, 2, 3]
+    keys, _, failed = snapshots.peel(*made_table(key[:0], row[:0], n[:0], 4, 4), 4, 4)
+    assert not len(keys) and not len(failed)
+    _, _, failed = snapshots.peel(*made_table(key[:1], row[:1], np.array([1 << 20]), 64, 1), 64, 1)
+    assert failed.tolist() == [0]  # so many copies cannot be divided; the bucket's keys are all compared
+
+
+def test_cells_pack():
+    rng = np.random.default_rng(2)
+    at = np.sort(rng.choice(10**6, 500, replace=False)) + 77
+    sums = [rng.integers(0, 2**63, 500).astype(np.uint64) & m for m in (snapshots._mask(56), snapshots._mask(64), snapshots._mask(16))]
+    c = snapshots.Cells(at, rng.integers(-5, 10**12, 500), *sums)
+    back = snapshots.Cells.unpacked(c.packed(77))
+    assert (back.at + 77 == c.at).all() and all((getattr(back, f) == getattr(c, f)).all() for f in ("n", "key", "row", "check"))
+    twice = snapshots.Cells.joined([c, c]).summed()
+    assert (twice.n == 2 * c.n).all() and (twice.at == c.at).all()
+    assert not len(snapshots.Cells.none().summed().at)
