@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrystone.functions.frames import cut, entries, has_at_most, scratch, small
+from quarrystone.functions.frames import BROADCAST_ROWS, cut, entries, has_at_most, scratch, small
 
 RECORD_COLUMNS = ("id", "collection", "title", "body", "fields", "tags", "metadata", "updated_at_epoch_seconds")
 
@@ -85,9 +85,12 @@ class Runs:
         read = self.spark.read.option("basePath", f"{self.folder}/entries").schema(f"{self.SCHEMA}, batch string")
         return read.parquet(*(f"{self.folder}/entries/batch={b}" for b in batches)).join(small(order), "batch")
 
-    def manifest(self) -> DataFrame:
-        """The last entry of each input; written names the batch whose output holds it."""
+    def manifest(self, only: DataFrame | None = None) -> DataFrame:
+        """The last entry of each input (of those in only, a table of few keys); written names the batch whose output
+        holds it."""
         done = self.history()
+        if only is not None:
+            done = done.join(F.broadcast(only), list(self.KEY), "left_semi")
         whole = F.struct(*(c for c in done.columns if c not in self.KEY))
         return done.groupBy(*self.KEY).agg(F.max_by(whole, "commit").alias("e")).select(*self.KEY, "e.*")
 
@@ -110,7 +113,8 @@ class Runs:
 
     def unlisted(self, listing: DataFrame) -> DataFrame:
         """The entries of a listing that differ from the last entry of the same input, or have none."""
-        return unprocessed(listing, self.manifest(), (*self.KEY, *self.SAME))
+        few = listing.select(*self.KEY) if has_at_most(listing, BROADCAST_ROWS) else None
+        return unprocessed(listing, self.manifest(few), (*self.KEY, *self.SAME))
 
     def _batch(self, todo: DataFrame, number: int) -> str:
         """An identifier that follows from the inputs, whatever their order, and from how many batches came before."""
