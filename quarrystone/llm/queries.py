@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.frames import table
@@ -66,6 +66,19 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p8_margins(spark: SparkSession, d: str) -> DataFrame:
+    return mix.margins(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """For each source with a target: whether it is in the mixture, keeps its cap of repeats, and has its share to
+    within two hundredths of all tokens, as shares of sources with documents go."""
+    got = mix.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    share = F.col("target_share") / F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).over(Window.partitionBy())
+    near = (F.col("tokens") == 0) | (F.abs(F.col("reached_share") - share) <= 0.02)
+    return got.select("source", "max_repeats", (F.col("tokens") > 0).alias("used"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"), near.alias("near_share"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents")).select("doc_id", "start_char", "end_char")
 
@@ -88,6 +101,8 @@ QUERIES: dict[str, Query] = {
     "p7_items": p7_items,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p8_margins": p8_margins,
+    "p8_checks": p8_checks,
     "p9_found": p9_found,
     "p9_units": p9_units,
 }
@@ -152,7 +167,13 @@ phrases AS (SELECT DISTINCT item_id, run, substr(t, CAST(k AS BIGINT), run) AS p
 windows AS (SELECT DISTINCT doc_id, run, substr(t, CAST(k AS BIGINT), run) AS p FROM (SELECT doc_id, t, run, unnest(generate_series(1, length(t) - run + 1)) AS k FROM docs, (VALUES (20), (50)) r(run)))
 """
 
+_SOURCE = "regexp_replace(lower(trim(source)), '[\\s_-]+', '_', 'g')"
+
 ORACLE: dict[str, str] = {
+    "p8_checks": f"""
+        SELECT {_SOURCE} AS source, CAST(greatest(1, coalesce(max_repeats, 1)) AS INTEGER) AS max_repeats,
+          {_SOURCE} IN (SELECT {_SOURCE} FROM documents WHERE text <> '' AND source IS NOT NULL) AS used, true AS within_repeats, true AS near_share
+        FROM mix_targets WHERE target_share > 0""",
     "p5_found": f"""WITH {_VALUES}
         SELECT a.field, a.key AS key_a, b.key AS key_b FROM forms a JOIN forms b ON a.field = b.field AND a.form = b.form AND a.raw <> b.raw AND a.key < b.key""",
     "p5_forms": f"WITH {_VALUES} SELECT field, key, form FROM forms",
