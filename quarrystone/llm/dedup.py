@@ -5,8 +5,10 @@ filter of what was seen once and one of what was seen again; the partitions' fil
 Only rows whose digest may be in the merged filter of repeats are shuffled and grouped exactly; all others are
 singletons and stay where they are.
 
-The filters' size follows the number of rows up to MOST_BITS; beyond it they fill up, more rows are shuffled, and the
-result stays the same: in the limit it is a plain grouping of 24 bytes a row.
+The filters' size follows the number of rows up to MOST_BITS. More rows than fill such a filter go through it in ranges
+of the digests' hashes, one after another, each with filters of its own: the digests lie sorted by hash in a table in
+the shared folder, so that a range reads its own pages. The share of rows that are shuffled thus stays the same at any
+size, and what is sent to an executor stays bounded.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.functions.frames import cut, join_groups, letters, ship
+from quarrystone.functions.frames import cut, join_groups, letters, scratch, ship
 
 LEAST_BITS, MOST_BITS, BITS_A_ROW = 1 << 17, 1 << 28, 16
 #: Bytes of one segment of a filter; MOST_BITS is 32 MB, the most that is ever sent to an executor.
@@ -69,7 +71,8 @@ def canonical(title: Column, body: Column) -> Column:
 
 def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     u = h.astype(np.uint64)
-    return u & np.uint64(bits - 1), (u >> np.uint64(32)) * np.uint64(0x9E3779B1) & np.uint64(bits - 1)
+    with np.errstate(over="ignore"):
+        return u & np.uint64(bits - 1), (u * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - bits.bit_length())
 
 
 def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -108,7 +111,7 @@ def _merge(parts: pd.DataFrame) -> pd.DataFrame:
 
 
 def repeats_filter(digests: DataFrame, rows: int) -> tuple[bytes, int]:
-    """The merged filter of repeated digests (at most MOST_BITS / 8 bytes) and its number of bits."""
+    """The merged filter of repeated digests (at most MOST_BITS / 8 bytes) of about so many rows, and its bits."""
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (max(1, rows) * BITS_A_ROW - 1).bit_length()))
     merged = (
         digests.select("h")
@@ -124,9 +127,19 @@ def repeats_filter(digests: DataFrame, rows: int) -> tuple[bytes, int]:
 
 
 def digests(records: DataFrame) -> DataFrame:
-    """row_no, the 128-bit digest of the canonical form, and 64 bits of it for the filters."""
+    """row_no, the 128-bit digest of the canonical form, and 64 bits of it for the filters; sorted by those in each
+    file of a table in the shared folder."""
     d = records.select("row_no", F.unhex(F.md5(canonical(F.col("title"), F.col("body")))).alias("digest"))
-    return cut(d.withColumn("h", F.xxhash64("digest")))
+    at = scratch(records.sparkSession, "digests")
+    d.withColumn("h", F.xxhash64("digest")).sortWithinPartitions("h").write.parquet(at)
+    return records.sparkSession.read.parquet(at)
+
+
+def hash_ranges(rows: int) -> list[tuple[int, int]]:
+    """(first, last) of ranges of 64-bit hashes that hold as many rows each as a filter of MOST_BITS takes."""
+    n = max(1, -(-rows * BITS_A_ROW // MOST_BITS))
+    edges = [-(1 << 63) + (1 << 64) * k // n for k in range(n + 1)]
+    return [(a, b - 1) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def _marked(held, bits: int):
@@ -139,13 +152,28 @@ def _marked(held, bits: int):
     return mark
 
 
-def _grouped(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    ship(records.sparkSession)
+def marked_rows(records: DataFrame) -> tuple[DataFrame, int]:
+    """(row_no, digest, repeat: whether the digest may occur more than once; the number of rows)."""
+    spark = records.sparkSession
+    ship(spark)
     d = digests(records)
     rows = d.count()
-    again, bits = repeats_filter(d, rows)
-    held = records.sparkSession.sparkContext.broadcast(zlib.compress(again, 1))
-    marked = d.mapInPandas(_marked(held, bits), "row_no long, digest binary, repeat boolean")
+    ranges = hash_ranges(rows)
+    out = scratch(spark, "marked")
+    for k, (first, last) in enumerate(ranges):
+        part = d if len(ranges) == 1 else d.where(F.col("h").between(first, last))
+        again, bits = repeats_filter(part, -(-rows // len(ranges)))
+        held = spark.sparkContext.broadcast(zlib.compress(again, 1))
+        marks = part.mapInPandas(_marked(held, bits), "row_no long, digest binary, repeat boolean")
+        if len(ranges) == 1:
+            return marks, rows
+        marks.write.parquet(f"{out}/range={k}")
+        held.destroy()
+    return spark.read.schema("row_no long, digest binary, repeat boolean").parquet(out), rows
+
+
+def _grouped(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    marked, rows = marked_rows(records)
     may = marked.where("repeat").select("row_no", "digest")
     groups = cut(may.groupBy("digest").agg(F.min("row_no").alias("first_row_no"), F.count(F.lit(1)).alias("copies")))
     return marked, may, groups, rows

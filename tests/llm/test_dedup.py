@@ -77,6 +77,28 @@ def test_hot_group_and_repeated_rows(frame):
     assert sorted(map(tuple, found.collect())) == [(1, k) for k in range(2, 6000) if k % 3]
 
 
+def test_ranges_of_hashes(frame, monkeypatch):
+    """More rows than a filter takes go through it in ranges, and no more of them are shuffled for that."""
+    monkeypatch.setattr(dedup, "LEAST_BITS", 1 << 17)
+    monkeypatch.setattr(dedup, "MOST_BITS", 1 << 17)
+    rows = [(k, "t", f"text number {k // 2 if k % 100 == 1 else k}", "d", 1) for k in range(20_000)]
+    d = frame(rows, SCHEMA)
+    assert len(dedup.hash_ranges(len(rows))) == 3
+    assert rows_of(dedup.copies(d)) == brute(rows)
+    marked, n = dedup.marked_rows(d)
+    assert marked.count() == n == len(rows)
+    assert marked.where("repeat").count() < 0.1 * n
+    assert dedup.distinct_records(d).agg({"copies": "sum"}).first()[0] == n
+
+
+def test_ranges_cover_all_hashes():
+    for rows in (0, 1, 10**9, 10**11):
+        ranges = dedup.hash_ranges(rows)
+        assert ranges[0][0] == -(2**63) and ranges[-1][1] == 2**63 - 1
+        assert all(b + 1 == a for (_, b), (a, _) in zip(ranges, ranges[1:], strict=False))
+        assert rows <= len(ranges) * (dedup.MOST_BITS // dedup.BITS_A_ROW)
+
+
 def test_empty_and_nulls(frame):
     assert dedup.copies(frame([], SCHEMA)).count() == 0
     assert dedup.distinct_records(frame([(None, None, None, None, None)] * 2, SCHEMA)).collect()[0].copies == 2

@@ -2,7 +2,7 @@ from collections import Counter
 
 import regex
 
-from quarrystone.llm.terms import marked_terms, term_counts
+from quarrystone.llm.terms import heavy_terms, marked_terms, term_counts
 
 SCHEMA = "row_no long, tags array<string>, body string, term string, records int, field string"
 
@@ -35,6 +35,13 @@ def test_heavy_terms_are_exact(frame):
     assert got == brute(rows)
 
 
+def test_sample_is_bounded(frame, monkeypatch):
+    monkeypatch.setattr("quarrystone.llm.terms.SAMPLE_PARTITIONS", 2)
+    monkeypatch.setattr("quarrystone.llm.terms.SAMPLE_ROWS", 40)
+    rows = [(k, ["Hot"] * 2, f"cold{k} often often often", None, None, None) for k in range(2000)]
+    assert heavy_terms(frame(rows, SCHEMA).repartition(8).select("tags", "body")) == {"tags": ["hot"], "body": ["often"]}
+
+
 def test_marks(frame):
     rows = [(k, ["all", f"t{k % 20}"], f"w{k}", None, None, None) for k in range(40)]
     got = {(r.field, r.term): r.mark for r in marked_terms(frame(rows, SCHEMA)).collect()}
