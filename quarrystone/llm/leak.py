@@ -13,16 +13,20 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.functions.frames import letters, python_batches
+from quarrystone.functions.frames import cut, letters, python_batches, small
 
 #: Bytes of text in a shard, distance of sampled positions, and bytes of items that are sent to the tasks at once.
 SHARD_BYTES, SAMPLED, ITEM_BYTES = 1 << 21, 16, 8 << 20
+#: Blocks of items whose phrases are searched in a shard before its index is given up.
+BLOCKS = 4
 # Letters that make a run, and those of items in languages without spaces.
 RUN, SHORT_RUN, SHORT_LANGS = 50, 20, ("zh", "ja")
 
@@ -182,87 +186,141 @@ class Phrases:
     """Phrases of a block of items, as rows of bytes, last byte first, with the places in items that they are from.
 
     A phrase has half the letters of the shortest run that counts, and phrases begin so close to each other that any
-    such run of an item holds a whole one.
+    such run of an item holds a whole one. The items lie one after another in letters, each ended by ITEM_END; places
+    count from the first letter of all.
     """
 
     def __init__(self, items: list[tuple[int, str, int]]):
-        self.items = items
-        places: dict[bytes, list[tuple[int, int]]] = {}
-        for k, (_, text, run) in enumerate(items):
+        self.ids, self.runs = [i for i, _, _ in items], np.array([run for _, _, run in items], np.int64)
+        self.starts = np.cumsum([0, *(len(text) + 1 for _, text, _ in items)])[:-1]
+        self.letters = codes("".join(text + ITEM_END for _, text, _ in items))
+        known: dict[bytes, int] = {}
+        phrase, place = [], []
+        for start, (_, text, run) in zip(self.starts.tolist(), items, strict=True):
             size = run // 2
             for at in range(0, len(text) - size + 1, run - size + 1):
-                places.setdefault(text[at : at + size].encode(), []).append((k, at))
-        self.places = list(places.values())
-        self.lengths = np.array([len(p) for p in places], np.int64)
-        self.bytes = np.zeros((len(places), int(self.lengths.max(initial=0))), np.uint8)
-        for k, p in enumerate(places):
+                phrase.append(known.setdefault(text[at : at + size].encode(), len(known)))
+                place.append(start + at)
+        order = np.argsort(np.array(phrase, np.int64), kind="stable")
+        self.places = np.array(place, np.int64)[order]
+        self.first = np.searchsorted(np.array(phrase, np.int64)[order], np.arange(len(known) + 1))
+        self.lengths = np.array([len(p) for p in known], np.int64)
+        self.bytes = np.zeros((len(known), int(self.lengths.max(initial=0))), np.uint8)
+        for k, p in enumerate(known):
             self.bytes[k, : len(p)] = np.frombuffer(p[::-1], np.uint8)
-        self.longest = max((run for _, _, run in items), default=0)
+        self.longest = int(self.runs.max(initial=0))
 
 
-def shared_run(text: str, at: int, item: str, place: int) -> tuple[int, int]:
-    """(begin, end) in the text of the longest common run around a place of the text and one of the item."""
-    begin, k = at, place
-    while begin and k and text[begin - 1] == item[k - 1]:
-        begin, k = begin - 1, k - 1
-    end, k = at, place
-    while end < len(text) and k < len(item) and text[end] == item[k]:
-        end, k = end + 1, k + 1
-    return begin, end
+#: What ends a part of a document, and an item: no letters, and not the same.
+PART_END, ITEM_END = "\x01", "\x02"
+#: Pairs of an occurrence and a place in an item that are looked at together.
+PAIRS = 1 << 20
 
 
-def shard_hits(texts: list[tuple[int, int, str]], phrases: Phrases) -> Iterator[tuple[int, int, int, int]]:
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def _reach(text: np.ndarray, x: np.ndarray, item: np.ndarray, y: np.ndarray, step: int) -> np.ndarray:
+    """How many letters from each place on, in steps of 1 or -1, text and item have in common."""
+    n, live = np.zeros(len(x), np.int64), np.arange(len(x))
+    while len(live):
+        a, b = x[live] + step * n[live], y[live] + step * n[live]
+        inside = (a >= 0) & (b >= 0)  # to the right, the ends differ
+        inside[inside] = text[a[inside]] == item[b[inside]]
+        live = live[inside]
+        n[live] += 1
+    return n
+
+
+def shared_runs(text: np.ndarray, x: np.ndarray, phrases: Phrases, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, begin, end) of the runs long enough to count around places x of the text that equal places y of items.
+
+    Places with the same distance between text and item may lie in one run; it is followed once.
+    """
+    order = np.lexsort((x, x - y))
+    x, y = x[order], y[order]
+    items, begins, ends = [], [], []
+    while len(x):
+        first = np.concatenate(([True], np.diff(x - y) != 0))
+        fx, fy = x[first], y[first]
+        end = fx + _reach(text, fx, phrases.letters, fy, 1)
+        begin = fx - _reach(text, fx - 1, phrases.letters, fy - 1, -1)
+        item = np.searchsorted(phrases.starts, fy, side="right") - 1
+        enough = end - begin >= phrases.runs[item]
+        items.append(item[enough])
+        begins.append(begin[enough])
+        ends.append(end[enough])
+        later = x >= end[np.cumsum(first) - 1]
+        x, y = x[later], y[later]
+    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return join(items), join(begins), join(ends)
+
+
+def _pairs(phrases: Phrases, found: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place in the suffix order, place in an item) of all found phrases, about PAIRS at a time."""
+    places = phrases.first[found + 1] - phrases.first[found]
+    step = np.maximum(1, PAIRS // places)  # occurrences that a phrase of many items brings at once
+    parts = -(-(end - begin) // step)
+    which = np.repeat(np.arange(len(found)), parts)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+    lo = begin[which] + nth * step[which]
+    hi = np.minimum(lo + step[which], end[which])
+    size = (hi - lo) * places[which]
+    for k in np.split(np.arange(len(which)), np.nonzero(np.diff(np.cumsum(size) // PAIRS))[0] + 1):
+        if len(k):
+            n = (hi - lo)[k] * places[which[k]]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            own = np.repeat(k, n)
+            yield lo[own] + at // places[which[own]], phrases.places[phrases.first[found[which[own]]] + at % places[which[own]]]
+
+
+def shard_hits(texts: list[tuple[int, int, str]], blocks: list[Phrases]) -> Iterator[tuple[int, int, int, int]]:
     """(document, item, begin, end) of shared runs; texts: (document, letter at which the part begins, letters)."""
-    raw = b"\x01".join(t.encode() for _, _, t in texts) + b"\x01\x00"
-    text = np.frombuffer(raw, np.uint8)
-    index = FMIndex(text)
-    found, begin, end = index.search(phrases.bytes, phrases.lengths)
-    if not len(found):
-        return
-    count = end - begin
-    ranges = np.repeat(begin - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-    phrase, pos = np.repeat(found, count), index.locate(ranges)
-    starts = np.concatenate(([0], np.nonzero(text == 1)[0][:-1] + 1))
-    char = np.cumsum((text & 0xC0) != 0x80) - 1  # separators count as a letter each
-    part = np.searchsorted(starts, pos, side="right") - 1
-    at = char[pos] - char[starts[part]]
-    order = np.lexsort((at, part))
-    seen: dict[tuple[int, int, int], int] = {}  # how far a part's run with an item, at a distance of places, reaches
-    spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for p, k, a in zip(phrase[order].tolist(), part[order].tolist(), at[order].tolist(), strict=True):
-        doc, base, letters_ = texts[k]
-        for i, place in phrases.places[p]:
-            if a < seen.get((k, i, a - place), 0):
-                continue
-            item, whole, run = phrases.items[i]
-            b, e = shared_run(letters_, a, whole, place)
-            seen[k, i, a - place] = e
-            if e - b >= run:
-                spans.setdefault((doc, item), []).append((base + b, base + e))
-    for (doc, item), runs in spans.items():
-        runs.sort()
-        b, e = runs[0]
-        for x, y in runs[1:]:
-            if x > e:
-                yield doc, item, b, e
-                b, e = x, y
-            e = max(e, y)
-        yield doc, item, b, e
-
-
-def _searcher(held):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        phrases = Phrases(held.value)
+    raw = "".join(t + PART_END for _, _, t in texts)
+    letters_ = codes(raw)
+    data = np.frombuffer(raw.encode() + b"\x00", np.uint8)
+    index = FMIndex(data)
+    char = np.cumsum((data & 0xC0) != 0x80) - 1
+    starts = np.concatenate(([0], np.nonzero(letters_ == ord(PART_END))[0][:-1] + 1))
+    for phrases in blocks:
+        found, begin, end = index.search(phrases.bytes, phrases.lengths)
+        spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for at, place in _pairs(phrases, found, begin, end):
+            item, b, e = shared_runs(letters_, char[index.locate(at)], phrases, place)
+            part = np.searchsorted(starts, b, side="right") - 1
+            for k, i, x, y in zip(part.tolist(), item.tolist(), (b - starts[part]).tolist(), (e - starts[part]).tolist(), strict=True):
+                doc, base, _ = texts[k]
+                spans.setdefault((doc, phrases.ids[i]), []).append((base + x, base + y))
+        for (doc, i), runs in spans.items():
+            runs.sort()
+            b, e = runs[0]
+            for x, y in runs[1:]:
+                if x > e:
+                    yield doc, i, b, e
+                    b, e = x, y
+                e = max(e, y)
+            yield doc, i, b, e
+
+
+HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("begin_letter", pa.int64()), ("end_letter", pa.int64())])
+
+
+def _searcher(held: list):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [Phrases(h.value) for h in held]
+        longest = max(p.longest for p in blocks)
         part, size = [], 0
 
-        def hits() -> pd.DataFrame:
-            return pd.DataFrame(list(shard_hits(part, phrases)), columns=["doc_id", "item_id", "begin_letter", "end_letter"])
+        def hits() -> pa.RecordBatch:
+            found = list(shard_hits(part, blocks))
+            return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 4)], schema=HITS)
 
         for b in batches:
-            for doc, text in zip(b.doc_id, b.letters, strict=True):
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("letters").to_pylist(), strict=True):
                 step = SHARD_BYTES // 4  # a text beyond that is cut, each part repeating a phrase's length less one
-                for k in range(0, max(1, len(text)), step):
-                    piece = text[k : k + step + phrases.longest - 1]
+                for k in range(0, len(text), step):
+                    piece = text[k : k + step + longest - 1]
                     part.append((doc, k, piece))
                     size += len(piece.encode()) + 1
                     if size >= SHARD_BYTES:
@@ -294,16 +352,25 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     A run has at least 50 letters, 20 for items in zh and ja. Positions count the letters of the document, from 0, the
     end exclusive. Overlapping phrases of one item are one run. NULL and empty texts have none; a document or item that
     occurs twice is reported once. Only doc_id and text, and item_id, lang and text, are read.
+
+    Items are sent in blocks of ITEM_BYTES. A shard's index is built once for as many as BLOCKS of them; what these
+    find is kept before the next are sent, so that no more than that is held anywhere.
     """
-    python_batches(documents.sparkSession, 4)
-    docs = documents.where("text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), letters(F.col("text")).alias("letters")).where("letters <> ''")
-    schema = "doc_id long, item_id long, begin_letter long, end_letter long"
-    out = None
-    for block in item_blocks(items.select(F.col("item_id").cast("long").alias("item_id"), "lang", "text")):
-        held = documents.sparkSession.sparkContext.broadcast(block)
-        hits = docs.mapInPandas(_searcher(held), schema)
-        out = hits if out is None else out.unionByName(hits)
-    return documents.sparkSession.createDataFrame([], schema) if out is None else out.distinct()
+    spark = documents.sparkSession
+    python_batches(spark, 4)
+    docs = documents.where("text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), letters(F.col("text")).alias("letters"))
+    blocks = item_blocks(items.select(F.col("item_id").cast("long").alias("item_id"), "lang", "text"))
+    found, now = None, list(islice(blocks, BLOCKS))
+    while now:
+        held = [spark.sparkContext.broadcast(b) for b in now]
+        hits = docs.mapInArrow(_searcher(held), "doc_id long, item_id long, begin_letter long, end_letter long")
+        now = list(islice(blocks, BLOCKS))
+        if found is not None or now:
+            hits = cut(hits)
+            for h in held:
+                h.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    return spark.createDataFrame([], "doc_id long, item_id long, begin_letter long, end_letter long") if found is None else found.distinct()
 
 
 def leaked_pairs(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -335,7 +402,9 @@ def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def removal_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, begin_char, end_char of what to take out of each document, runs of all items merged, and chars_left
-    (characters of what stays, blanks joined). Of rows with equal doc_id the text that sorts first is used."""
-    found = leaks(documents, items).groupBy("doc_id").agg(F.collect_set(F.struct("begin_letter", "end_letter")).alias("runs"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    (characters of what stays, blanks joined). Of rows with equal doc_id the text that sorts first is used; rows without a
+    doc_id are left out."""
+    runs = cut(leaks(documents, items))
+    found = runs.groupBy("doc_id").agg(F.collect_set(F.struct("begin_letter", "end_letter")).alias("runs"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(runs.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     return texts.join(found, "doc_id").mapInPandas(_spans, "doc_id long, begin_char long, end_char long, chars_left long")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 
@@ -63,21 +64,32 @@ def corpus(seed=1, n=60):
     return docs, items
 
 
-@pytest.mark.parametrize("shard", [1 << 21, 4000])
-def test_against_brute_force(frame, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "block", "blocks", "pairs"), [(1 << 21, 8 << 20, 4, 1 << 20), (4000, 300, 2, 5), (1 << 21, 1, 1, 1)])
+def test_against_brute_force(frame, monkeypatch, shard, block, blocks, pairs):
     monkeypatch.setattr(leak, "SHARD_BYTES", shard)
+    monkeypatch.setattr(leak, "ITEM_BYTES", block)
+    monkeypatch.setattr(leak, "BLOCKS", blocks)
+    monkeypatch.setattr(leak, "PAIRS", pairs)
     docs, items = corpus()
     docs += [(100, None, "", "", ""), (101, "", "", "", ""), (102, "...", "", "", ""), (5, docs[0][1], "", "", ""), (None, items[-1][2] * 2, "", "", "")]
     items += [(50, "en", None, 1), (51, None, "short", 1), (52, "zh", "", 1)]
-    held = leak._searcher(type("B", (), {"value": next(leak.item_blocks(frame(items, ITEMS)))})())
-    import pandas as pd
-
-    batch = pd.DataFrame([(d[0], letters(d[1])) for d in docs if letters(d[1])], columns=["doc_id", "letters"])
-    got = pd.concat(held(iter([batch])))
-    assert sorted({(None if pd.isna(a) else int(a), int(b)) for a, b in zip(got.doc_id, got.item_id, strict=True)}, key=repr) == brute(docs, items)
+    blocks = [type("B", (), {"value": b})() for b in leak.item_blocks(frame(items, ITEMS))]
+    batch = pa.record_batch([[d[0] for d in docs], [letters(d[1]) for d in docs]], ["doc_id", "letters"])
+    got = pa.Table.from_batches(leak._searcher(blocks)(iter([batch]))).to_pylist()
+    assert sorted({(r["doc_id"], r["item_id"]) for r in got}, key=repr) == brute(docs, items)
     assert rows_of(leak.leaked_pairs(frame(docs, DOCS), frame(items, ITEMS))) == brute(docs, items)
 
 
+def test_phrase_of_many_items_and_documents():
+    """A phrase that everything has costs pairs, but only long runs are reported."""
+    phrase = "thequickbrownfoxjumpsoverthelazydog"
+    items = leak.Phrases([(k, f"{k:020d}{phrase}{k:020d}", 50) for k in range(300)])
+    texts = [(k, 0, f"{k + 100:019d}x{phrase}") for k in range(300)]
+    assert list(leak.shard_hits(texts, [items])) == []
+    texts = [(k, 0, f"{k:020d}{phrase}") for k in range(300)]
+    assert sorted(leak.shard_hits(texts, [items])) == [(k, k, 0, 55) for k in range(300)]
+
+
 def test_spans_cover_the_leak(frame):
     item = "The quick brown fox jumps over the lazy dog while nine violins hum in the copper hall"
     text = f"Before it. {item.upper()}! After it."
