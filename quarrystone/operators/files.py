@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.config import NO_INDEX, NOT_PERSISTED, OTHER_CONFIG, EngineError, FileQuery, IndexConfig
 from quarrystone.functions import matching
-from quarrystone.functions.frames import small
+from quarrystone.functions.frames import cut, small
 from quarrystone.operators import grams
 from quarrystone.operators.globs import glob_regex, is_valid
 from quarrystone.operators.planner import Plan, ScanAll, plan_literal, plan_regex
@@ -190,7 +190,7 @@ class FileIndex:
         return cls.open(spark, path)
 
     def save(self, path: str) -> None:
-        tables = {"files": self.files, "postings": self.postings.repartitionByRange("gram").sortWithinPartitions("gram", "chunk_id")}
+        tables = {"files": self.files, "postings": cut(self.postings).repartitionByRange("gram", "chunk_id").sortWithinPartitions("gram", "chunk_id")}
         Generations(self.spark, path).publish(tables, {"version": self.VERSION, "root": self.root, "config": asdict(self.config), "commit": head_commit(self.root)})
 
     @classmethod

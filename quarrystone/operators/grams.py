@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.functions.frames import python_batches
+from quarrystone.functions.frames import cut, python_batches
 
 # Weights of pairs of byte classes. Classes: lower, upper, digit, space, control, punctuation, other.
 LOWER, UPPER, DIGIT, SPACE, CONTROL, PUNCT, OTHER = range(7)
@@ -40,7 +40,10 @@ UNORDERED = {
 ORDERED = {(LOWER, UPPER): 100, (UPPER, LOWER): 40}
 WITH_OTHER, WITH_CONTROL, LEAST, MOST = 220, 180, 1, 251
 # Ranks of frequent letter pairs; their weight is 3 more. Any other pair has 30 + (7a xor 13b) mod 20.
-RANKS = "th1 he2 in3 er4 an5 re6 on7 at8 en9 nd10 ti11 es12 et12 or13 te14 st14 of15 rn15 ed16 ng16 is17 le17 it18 un18 al19 ar20 ct20"
+RANKS = {
+    "th": 1, "he": 2, "in": 3, "er": 4, "an": 5, "re": 6, "on": 7, "at": 8, "en": 9, "nd": 10, "ti": 11, "es": 12, "et": 12, "or": 13,
+    "te": 14, "st": 14, "of": 15, "rn": 15, "ed": 16, "ng": 16, "is": 17, "le": 17, "it": 18, "un": 18, "al": 19, "ar": 20, "ct": 20,
+}
 
 
 def byte_class(b: int) -> int:
@@ -59,14 +62,13 @@ def byte_class(b: int) -> int:
 
 @lru_cache(1)
 def weight_table() -> np.ndarray:
-    ranks = {r[:2]: int(r[2:]) for r in RANKS.split()}
     table = np.zeros((256, 256), np.uint8)
     kinds = [byte_class(b) for b in range(256)]
     for a in range(256):
         for b in range(256):
             x, y = kinds[a], kinds[b]
             if x == y == LOWER:
-                rank = ranks.get(chr(a) + chr(b))
+                rank = RANKS.get(chr(a) + chr(b))
                 w = 3 + rank if rank else 30 + ((a * 7) ^ (b * 13)) % 20
             elif (x, y) in ORDERED:
                 w = ORDERED[x, y]
@@ -216,6 +218,18 @@ def postings(chunks: DataFrame, max_length: int = 128) -> DataFrame:
     return rows.mapInPandas(_extractor(max_length), "gram long, chunk_id long")
 
 
+def sorted_postings(chunks: DataFrame, max_length: int = 128) -> DataFrame:
+    """Postings in ranges of gram and chunk, for storing; a gram of nearly all chunks takes several ranges. They are
+    kept before, so that finding the ranges does not extract the grams once more."""
+    return cut(postings(chunks, max_length)).repartitionByRange("gram", "chunk_id").sortWithinPartitions("gram", "chunk_id")
+
+
+#: Ids that a row of a posting list spans at most.
+LIST_SPAN = 1 << 16
+
+
 def posting_lists(entries: DataFrame) -> DataFrame:
-    """gram and its chunks, ascending. For export; searching uses the narrow form, which no frequent gram makes wide."""
-    return entries.groupBy("gram").agg(F.sort_array(F.collect_set("chunk_id")).alias("chunks"))
+    """gram, block and those of the gram's chunks whose id is in the block, ascending: block times LIST_SPAN is the
+    first id that it could hold, so no frequent gram makes a row long. For export; searching uses the narrow form."""
+    block = F.floor(F.col("chunk_id") / LIST_SPAN).alias("block")
+    return entries.groupBy("gram", block).agg(F.sort_array(F.collect_set("chunk_id")).alias("chunks"))

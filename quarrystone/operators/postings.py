@@ -13,10 +13,27 @@ def _lookups(children: tuple[Plan, ...]) -> tuple[list[int], list[Plan]]:
     return hashes, [c for c in children if not isinstance(c, Lookup)]
 
 
+def _in_all(hits: DataFrame, hashes: list[int]) -> DataFrame:
+    """chunk_id of the chunks that have all of the grams: a bit for each, put together in one aggregation."""
+    if len(hashes) == 1:
+        return hits.select("chunk_id").distinct()
+    bits = []
+    for k in range(0, len(hashes), 62):
+        part = hashes[k : k + 62]
+        bit = F.lit(0).cast("long")
+        for j, h in enumerate(part):
+            bit = F.when(F.col("gram") == h, F.lit(1 << j)).otherwise(bit)
+        bits.append((F.bit_or(bit).alias(f"b{k}"), F.col(f"b{k}") == (1 << len(part)) - 1))
+    out = hits.groupBy("chunk_id").agg(*(b for b, _ in bits))
+    for _, all_set in bits:
+        out = out.where(all_set)
+    return out.select("chunk_id")
+
+
 def candidates(plan: Plan, postings: DataFrame) -> DataFrame | None:
     """chunk_id of the chunks that satisfy a plan, each once; None for all.
 
-    The lookups of a conjunction are one scan of the postings (a pushed-down IN) and one count per chunk.
+    The lookups of a conjunction are one scan of the postings (a pushed-down IN) and one aggregation per chunk.
     """
     if isinstance(plan, ScanAll):
         return None
@@ -37,8 +54,7 @@ def candidates(plan: Plan, postings: DataFrame) -> DataFrame | None:
     assert isinstance(plan, And)
     out = None
     if hashes:
-        hits = postings.where(F.col("gram").isin(hashes))
-        out = hits.groupBy("chunk_id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(hashes)).select("chunk_id")
+        out = _in_all(postings.where(F.col("gram").isin(hashes)), hashes)
     for c in rest:
         part = candidates(c, postings)
         if part is not None:
@@ -46,7 +62,32 @@ def candidates(plan: Plan, postings: DataFrame) -> DataFrame | None:
     return out
 
 
+#: Candidates up to which a scan is narrowed by their ids, and the ranges of ids that are pushed down to it.
+FEW, RANGES = 10_000, 64
+
+
+def id_ranges(ids: list[int], most: int = RANGES) -> list[tuple[int, int]]:
+    """At most so many ranges that hold all of the sorted ids and leave out the widest gaps between them."""
+    gaps = sorted(range(1, len(ids)), key=lambda k: ids[k - 1] - ids[k])[: most - 1]
+    edges = [0, *sorted(k for k in gaps if ids[k] - ids[k - 1] > 1), len(ids)]
+    return [(ids[a], ids[b - 1]) for a, b in zip(edges, edges[1:], strict=False) if a < b]
+
+
 def restricted(chunks: DataFrame, plan: Plan, postings: DataFrame) -> DataFrame:
-    """The chunks that a plan lets through. Whether candidates are broadcast is left to their size at run time."""
+    """The chunks that a plan lets through.
+
+    Few candidates go to the scan: as ranges of ids, which Parquet checks against its row groups and pages, and as the
+    ids themselves, before any text is looked at. So a store that is sorted by ids reads and verifies little more than
+    the candidates. Many are joined, by a way left to their size at run time.
+    """
     ids = candidates(plan, postings)
-    return chunks if ids is None else chunks.join(ids, "chunk_id", "left_semi")
+    if ids is None:
+        return chunks
+    some = ids.limit(FEW + 1).collect()
+    if len(some) > FEW:
+        return chunks.join(ids, "chunk_id", "left_semi")
+    found = sorted(r.chunk_id for r in some)
+    within = F.lit(False)
+    for first, last in id_ranges(found):
+        within = within | F.col("chunk_id").between(first, last)
+    return chunks.where(within).where(F.col("chunk_id").isin(found))

@@ -130,5 +130,5 @@ def corpus_signature(records: DataFrame) -> DataFrame:
     """
     text = F.to_json(F.struct("collection", "id", "title", "body", F.array_sort(F.map_entries("fields")).alias("fields"), "tags", "updated_at_epoch_seconds"))
     h = F.sha2(text, 256)
-    sums = records.select(h.alias("h")).select(*(F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("long").alias(f"w{k}") for k in range(8)))
+    sums = records.select(h.alias("h")).select(*(F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("decimal(38,0)").alias(f"w{k}") for k in range(8)))
     return sums.agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"w{k}").alias(f"w{k}") for k in range(8))).select(F.sha2(F.concat_ws(",", "n", *(f"w{k}" for k in range(8))), 256).alias("signature"))

@@ -7,15 +7,17 @@ nothing refers to.
 
 from __future__ import annotations
 
-import fcntl
+import functools
 import json
 import os
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from threading import Event, Thread
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,10 @@ from quarrystone.operators import grams, search
 from quarrystone.operators.records import CHUNK_SCHEMA, check_budget, chunk_records, latest_per_key, renumbered
 
 
+#: Bytes of a page of a stored table; a search reads those pages that may hold its candidates.
+PAGE = 64 << 10
+
+
 class Generations:
     """Tables under a path (any that Hadoop's file systems know)."""
 
@@ -36,38 +42,114 @@ class Generations:
         self._at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._jvm = jvm
+        self._token: str | None = None
+
+    #: Seconds after which a lock that nobody renews is taken over, and seconds between two looks at one.
+    LEASE, LOOK = 120, 0.2
+
+    def _renamed(self, part, name: str, overwrite: bool) -> bool:
+        """Renames a file of the store in one step; False if the name is taken and must not be."""
+        options = self._jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(options, int(overwrite))
+        if overwrite:
+            how[0] = options.OVERWRITE
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context.rename(self._fs.makeQualified(part), self._fs.makeQualified(self._at(f"{self.path}/{name}")), how)
+        except Py4JJavaError as e:
+            if overwrite or "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise OSError(f"{name} could not be written") from e
+            return False
+        return True
+
+    def _put(self, text: str):
+        part = self._at(f"{self.path}/.part-{uuid.uuid4().hex}")
+        out = self._fs.create(part, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        return part
+
+    def _claimed(self, token: str) -> bool:
+        """Puts the lock in its place if that is free."""
+        if self._fs.getUri().getScheme() == "file":  # there, a rename does not keep what is in its place
+            os.makedirs(folder := self._fs.makeQualified(self._at(self.path)).toUri().getPath(), exist_ok=True)
+            try:
+                with open(f"{folder}/LOCK", "x") as f:
+                    f.write(token)
+            except FileExistsError:
+                return False
+            return True
+        part = self._put(token)
+        if self._renamed(part, "LOCK", overwrite=False):
+            return True
+        self._fs.delete(part, False)
+        return False
+
+    def _text(self, name: str) -> str:
+        stream = self._fs.open(self._at(f"{self.path}/{name}"))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _age(self, name: str) -> float | None:
+        """Seconds since a file was changed, by the clock of the file system; None if it is gone."""
+        part = self._put("")
+        try:
+            now = self._fs.getFileStatus(part).getModificationTime()
+            return (now - self._fs.getFileStatus(self._at(f"{self.path}/{name}")).getModificationTime()) / 1000
+        except Py4JJavaError:
+            return None
+        finally:
+            self._fs.delete(part, False)
 
     @contextmanager
     def locked(self) -> Iterator[None]:
-        """One writer at a time, where the path is on the driver's own file system."""
-        if "://" in self.path:
+        """One writer at a time, on any file system that renames a file in one step.
+
+        The lock is a file that only one writer can put in its place; its holder renews it. A lock that was not renewed
+        for LEASE seconds is that of a dead writer and is moved away. May be taken again by the holder.
+        """
+        if self._token is not None:
             yield
             return
-        os.makedirs(self.path, exist_ok=True)
-        with open(f"{self.path}/.lock", "w") as f:
-            fcntl.flock(f, fcntl.LOCK_EX)
+        token = uuid.uuid4().hex
+        while not self._claimed(token):
+            if (age := self._age("LOCK")) is not None and age > self.LEASE:
+                self._fs.rename(self._at(f"{self.path}/LOCK"), self._at(f"{self.path}/.dead-{uuid.uuid4().hex}"))
+            else:
+                time.sleep(self.LOOK)
+        self._token, stop = token, Event()
+
+        def renew() -> None:
+            while not stop.wait(self.LEASE / 4):
+                self._fs.setTimes(self._at(f"{self.path}/LOCK"), int(time.time() * 1000), -1)
+
+        keeper = Thread(target=renew, daemon=True)
+        keeper.start()
+        try:
             yield
+        finally:
+            stop.set()
+            keeper.join()
+            self._token = None
+            if self._holds(token):
+                self._fs.delete(self._at(f"{self.path}/LOCK"), False)
 
-    def _write_text(self, name: str, text: str) -> None:
-        part = self._at(f"{self.path}/.{name}-{uuid.uuid4().hex}")
-        out = self._fs.create(part, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri() if "://" in self.path else self._at(f"file://{os.path.abspath(self.path)}").toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        rename = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        rename[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        full = lambda p: p if "://" in self.path else self._at("file://" + os.path.abspath(str(p)))
-        context.rename(full(part), full(self._at(f"{self.path}/{name}")), rename)
+    def _holds(self, token: str) -> bool:
+        return self._fs.exists(self._at(f"{self.path}/LOCK")) and self._text("LOCK") == token
+
+    def _write_current(self, meta: dict) -> None:
+        if not self._holds(self._token):
+            raise OSError("the lock was lost to another writer")
+        self._renamed(self._put(json.dumps(meta)), "CURRENT", overwrite=True)
 
     def current(self) -> dict | None:
         """What CURRENT says; None if there is none. Raises ValueError if it cannot be read."""
         p = self._at(f"{self.path}/CURRENT")
         if not self._fs.exists(p):
             return None
-        stream = self._fs.open(p)
-        text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        stream.close()
-        meta = json.loads(text)
+        meta = json.loads(self._text("CURRENT"))
         if not self._fs.exists(self._at(f"{self.path}/generations/{meta['generation']}")):
             raise ValueError(f"generation {meta['generation']} is missing")
         return meta
@@ -82,9 +164,9 @@ class Generations:
         with self.locked():
             name = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
             for table, df in tables.items():
-                df.write.mode("overwrite").option("parquet.bloom.filter.enabled#gram", "true").parquet(f"{self.path}/generations/{name}/{table}")
+                df.write.mode("overwrite").option("parquet.bloom.filter.enabled#gram", "true").option("parquet.page.size", str(PAGE)).parquet(f"{self.path}/generations/{name}/{table}")
             meta = {**meta, "generation": name, "overlay": 0, "written": int(time.time())}
-            self._write_text("CURRENT", json.dumps(meta))
+            self._write_current(meta)
             self._retire()
         return meta
 
@@ -95,7 +177,7 @@ class Generations:
             for table, df in tables.items():
                 df.write.mode("overwrite").parquet(f"{self.path}/generations/{meta['generation']}/overlay-{k}/{table}")
             meta = {**meta, **more, "overlay": k, "written": int(time.time())}
-            self._write_text("CURRENT", json.dumps(meta))
+            self._write_current(meta)
         return meta
 
     def _retire(self) -> None:
@@ -113,6 +195,18 @@ class Generations:
         self._fs.delete(self._at(self.path), True)
 
 
+def changes(method: Callable) -> Callable:
+    """A change of an index: under the lock of its store, from what the last writer left."""
+
+    @functools.wraps(method)
+    def run(self, *args, **options):
+        with self.store.locked():
+            self.meta = self.store.current() or self.meta
+            return method(self, *args, **options)
+
+    return run
+
+
 @dataclass(frozen=True)
 class Maintained:
     """What a change did to an index."""
@@ -163,7 +257,7 @@ class RecordIndex:
         return self.spark.createDataFrame([], CHUNK_SCHEMA)
 
     def _replace(self, chunks: DataFrame, next_id: int) -> dict:
-        entries = grams.postings(chunks, self.config.index.max_gram_length).repartitionByRange("gram").sortWithinPartitions("gram", "chunk_id")
+        entries = grams.sorted_postings(chunks, self.config.index.max_gram_length)
         self.meta = self.store.publish({"chunks": chunks, "postings": entries}, {"version": self.VERSION, "next_id": next_id})
         return self.meta
 
@@ -197,6 +291,7 @@ class RecordIndex:
 
     # Changes
 
+    @changes
     def replace_all(self, records: DataFrame, by: str | None = None) -> Maintained:
         """The index of these records and no others. Equal keys are all kept. Budgets are checked before it is published."""
         self._built(records, by)
@@ -207,6 +302,7 @@ class RecordIndex:
             raise EngineError(NO_PROVIDER, "there is no provider to rebuild from")
         return self.replace_all(self.provider.load(self.spark))
 
+    @changes
     def upsert(self, records: DataFrame, by: str | None = None) -> Maintained:
         """Puts records in place of those with their collection and id; the last of a batch counts, by the column `by`,
         else by the order of the rows. All or nothing: over budget, nothing changes."""
@@ -225,12 +321,14 @@ class RecordIndex:
             return Maintained(upserted=result.upserted, compacted=True)
         return result
 
+    @changes
     def delete(self, ids: list[str] | DataFrame, collection: str | None = None) -> Maintained:
         """Removes records by id, in one collection or in all. Counts the keys that were there."""
         wanted = ids.select("id").distinct() if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in set(ids)], "id string")
         found = self.chunks().join(small(wanted), F.col("record_id") == F.col("id"), "left_semi")
         return self._deleted(found if collection is None else found.where(F.col("collection") == collection))
 
+    @changes
     def delete_keys(self, keys: DataFrame) -> Maintained:
         """Removes the records with these collections and ids."""
         wanted = keys.select("collection", F.col("id").alias("record_id")).distinct()
@@ -254,6 +352,7 @@ class RecordIndex:
             self._check(base.join(overlay["tombstones"], "chunk_id", "left_anti"))
         self.meta = self.store.publish_overlay(self.meta, overlay, next_id=self.meta["next_id"] + new.count())
 
+    @changes
     def compact(self) -> Maintained:
         """Renumbers the active chunks into a new base; overlay and tombstones go. Texts are not chunked again."""
         chunks = cut(renumbered(self.chunks()))

@@ -51,4 +51,6 @@ def test_postings(frame):
     assert {r.chunk_id for r in got.where(f"gram = {grams.gram_hash(b'her')}").collect()} == {1, 5}
     lists = {r.gram: r.chunks for r in grams.posting_lists(got).collect()}
     assert lists[grams.gram_hash(b"ron")] == [1, 5]
+    far = grams.postings(frame([(1, "heron"), (grams.LIST_SPAN, "heron"), (grams.LIST_SPAN + 9, "heron")], "chunk_id long, text string"))
+    assert [(r.block, r.chunks) for r in grams.posting_lists(far).where(f"gram = {grams.gram_hash(b'ron')}").orderBy("block").collect()] == [(0, [1]), (1, [grams.LIST_SPAN, grams.LIST_SPAN + 9])]
     assert grams.postings(frame([], "chunk_id long, text string")).count() == 0

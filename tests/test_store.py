@@ -1,11 +1,13 @@
 import os
+from threading import Thread
 
 import pytest
 
 from quarrystone.config import NO_PROVIDER, NO_REUSE, NOT_PERSISTED, NOTHING_TO_REUSE, CHUNK_COUNT_BUDGET, ChunkingConfig, EngineError, FileQuery, IndexConfig, MemoryBudget, RecordIndexConfig, RecordQuery
 from quarrystone.operators import baselines
 from quarrystone.operators.files import FileIndex
-from quarrystone.operators.store import RecordIndex
+from quarrystone.operators.postings import id_ranges
+from quarrystone.operators.store import Generations, RecordIndex
 from quarrystone.sources.crawl import head_commit
 from quarrystone.sources.providers import CallableProvider, records_frame
 
@@ -65,6 +67,63 @@ def test_compaction_threshold_and_budget(spark, tmp_path):
     assert index.status().first().chunk_count == 0
 
 
+def test_two_writers_keep_both(spark, tmp_path):
+    config = RecordIndexConfig(storage=str(tmp_path / "ix"))
+    one, two = RecordIndex(spark, config), RecordIndex(spark, config)
+    one.upsert(records_frame(spark, [dict(R1, id="one")]))
+    two.upsert(records_frame(spark, [dict(R1, id="two")]))
+    one.delete(["two"], "notes")
+    one.upsert(records_frame(spark, [dict(R1, id="three")]))
+    two.compact()
+    chunks = RecordIndex(spark, config).chunks().collect()
+    assert {r.record_id for r in chunks} == {"one", "two", "three"} and len({r.chunk_id for r in chunks}) == len(chunks)
+
+
+def test_writers_at_the_same_time(spark, tmp_path):
+    config = RecordIndexConfig(storage=f"file://{tmp_path}/ix")
+    RecordIndex(spark, config)
+    failed = []
+
+    def write(k):
+        try:
+            RecordIndex(spark, config).upsert(records_frame(spark, [dict(R1, id=f"r{k}")]))
+        except Exception as e:
+            failed.append(e)
+
+    threads = [Thread(target=write, args=(k,)) for k in range(3)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert not failed and {r.record_id for r in RecordIndex(spark, config).chunks().collect()} == {"r0", "r1", "r2"}
+
+
+def test_lock_of_a_dead_writer(spark, tmp_path, monkeypatch):
+    store = Generations(spark, str(tmp_path / "s"))
+    assert store._renamed(store._put("dead"), "LOCK", overwrite=False)
+    assert not store._renamed(store._put("other"), "LOCK", overwrite=False) and not store._claimed("other")
+    os.utime(tmp_path / "s" / "LOCK", (1, 1))
+    with store.locked():
+        assert store._holds(store._token)
+    assert not (tmp_path / "s" / "LOCK").exists()
+    with store.locked(), pytest.raises(OSError, match="lost"):
+        (tmp_path / "s" / "LOCK").unlink()
+        store._write_current({})
+
+
+def test_candidates_narrow_the_scan(spark, tmp_path):
+    """Files of a store that hold no candidate are not read, and pages of the others are chosen by id."""
+    rows = [dict(id=f"{k:05d}", collection="c", body=f"record {k} " + ("needle" if k in (70, 3000) else "straw")) for k in range(4000)]
+    index = RecordIndex(spark, RecordIndexConfig(storage=str(tmp_path / "ix")))
+    index.replace_all(records_frame(spark, rows))
+    hits = index.search(RecordQuery("needle"), "indexed")[0]
+    assert {r.record_id for r in hits.collect()} == {"00070", "03000"}
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    again = index.search(RecordQuery("needle"), "indexed")[0]
+    plan = spark._jvm.PythonSQLUtils.explainString(again._jdf.queryExecution(), "formatted")
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "PushedFilters" in plan and "LessThanOrEqual(chunk_id,70)" in plan.replace(" ", "") and "Join" not in plan
+    assert id_ranges([1, 2, 3, 50, 51, 900], 2) == [(1, 51), (900, 900)] and id_ranges([5]) == [(5, 5)] and id_ranges([]) == []
+
+
 def test_recovery(spark, tmp_path):
     memo = dict(id="memo-1", collection="memories", body="A persisted memory about sparse indexing.", tags=["memory"])
     provider = CallableProvider(lambda s: [memo])
