@@ -218,6 +218,19 @@ def postings(chunks: DataFrame, max_length: int = 128) -> DataFrame:
     return rows.mapInPandas(_extractor(max_length), "gram long, chunk_id long")
 
 
+def spelled(chunks: DataFrame, max_length: int = 128) -> DataFrame:
+    """gram_hex, chunk_id: the postings with the grams' bytes in place of their hashes, for looking at."""
+    python_batches(chunks.sparkSession, 4)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(g.hex(), i) for i, t in zip(b.chunk_id, b.text, strict=True) for g in gram_strings(t, max_length)]
+            yield pd.DataFrame(rows, columns=["gram_hex", "chunk_id"])
+
+    rows = chunks.where("text IS NOT NULL AND chunk_id IS NOT NULL").select(F.col("chunk_id").cast("long").alias("chunk_id"), "text")
+    return rows.mapInPandas(run, "gram_hex string, chunk_id long")
+
+
 def sorted_postings(chunks: DataFrame, max_length: int = 128) -> DataFrame:
     """Postings in ranges of gram and chunk, for storing; a gram of nearly all chunks takes several ranges. They are
     kept before, so that finding the ranges does not extract the grams once more."""

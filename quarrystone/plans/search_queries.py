@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.config import ChunkingConfig, FileQuery, Mode, RecordQuery
-from quarrystone.functions.frames import cut, table
+from quarrystone.config import ChunkingConfig, FileQuery, Mode, RecordIndexConfig, RecordQuery
+from quarrystone.functions.frames import cut, scratch, table
 from quarrystone.functions.matching import trimmed
 from quarrystone.operators import baselines, files, grams, ignore, postings, records, search, store
 from quarrystone.operators.globs import glob_regex
 from quarrystone.operators.planner import plan_regex
+from quarrystone.plans import gram_sql
 from quarrystone.sources.crawl import relative_to
 
 LITERAL = RecordQuery("Dovit")
@@ -99,7 +100,7 @@ def gram_frequencies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def posting_lists(spark: SparkSession, d: str) -> DataFrame:
-    return grams.posting_lists(grams.postings(_chunks(spark, d)))
+    return grams.posting_lists(grams.postings(_chunks(spark, d))).select("gram", "block", F.array_join(F.col("chunks").cast("array<string>"), " ").alias("chunks"))
 
 
 def _candidates(pattern: str):
@@ -109,6 +110,76 @@ def _candidates(pattern: str):
     return run
 
 
+def prefilter_off(spark: SparkSession, d: str) -> DataFrame:
+    """A report with postings at hand that the query does not want: every chunk in scope is a candidate."""
+    chunks = _chunks(spark, d)
+    return search.report(chunks, RecordQuery("Dovit", prefilter=False), grams.postings(chunks))
+
+
+def comparison_of_regex(spark: SparkSession, d: str) -> DataFrame:
+    """Engines that know literals only are not available for a regular expression; they count as -1 here."""
+    got = baselines.compare(table(spark, d, "records"), RecordQuery("Dovit (closed|opened)", mode=Mode.REGEX))
+    return got.withColumn("matched_records", F.coalesce("matched_records", F.lit(-1)))
+
+
+def _whole_texts(name: str, spark: SparkSession) -> store.RecordIndex:
+    return store.RecordIndex(spark, RecordIndexConfig(storage=scratch(spark, name), chunking=ChunkingConfig(max_chunk_bytes=1 << 30), compaction_threshold=1 << 40))
+
+
+def _changed_index(spark: SparkSession, d: str, name: str) -> store.RecordIndex:
+    """An index of all records, after the feed's last upserts and deletes of their and of new keys."""
+    index = _whole_texts(name, spark)
+    index.replace_all(table(spark, d, "records"), by="row_no")
+    feed = table(spark, d, "record_feed").withColumn("at", F.struct("arrived_at", "delivery_id"))
+    last = cut(records.latest_per_key(feed.select("op", *(c.split()[0] for c in records.RECORD_SCHEMA.split(", ")), "at"), "at"))
+    index.upsert(last.where("op = 'upsert'").drop("op"), by="at")
+    index.delete_keys(last.where("op = 'delete'").select("collection", "id"))
+    return index
+
+
+UNIT = ("record_id", "collection", "field", "ordinal", "text")
+
+
+def stored_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of a stored index after upserts and deletes, read again by another that opens the same store."""
+    index = _changed_index(spark, d, "stored-changes")
+    return store.RecordIndex(spark, index.config).chunks().select(*UNIT)
+
+
+def stored_search(spark: SparkSession, d: str) -> DataFrame:
+    """A search by postings of base and overlay without what is dead."""
+    index = _changed_index(spark, d, "stored-search")
+    c = search.compiled(LITERAL)
+    return search.verified(index.chunks(), c, index.postings()).select("record_id", "collection", "field", "text", "match_count")
+
+
+def stored_status(spark: SparkSession, d: str) -> DataFrame:
+    return _changed_index(spark, d, "stored-status").status().select("record_count", "chunk_count", "resident_bytes", "overlay_chunk_count")
+
+
+def stored_compact(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks and status after compaction: no overlay, no tombstones, ids from 0 by key, field and ordinal."""
+    index = _changed_index(spark, d, "stored-compact")
+    index.compact()
+    s = index.status().first()
+    return index.chunks().select("chunk_id", *UNIT[:4], F.lit(s.overlay_chunk_count).alias("overlay"), F.lit(s.tombstone_count).alias("dead"))
+
+
+def stored_deletes(spark: SparkSession, d: str) -> DataFrame:
+    """Records of a stored index after deletes by id, in one collection and in all."""
+    index = _whole_texts("stored-deletes", spark)
+    index.replace_all(table(spark, d, "records"), by="row_no")
+    index.delete(table(spark, d, "record_feed").where("op = 'delete'").select("id"), "notes")
+    index.delete(table(spark, d, "ingest_runs").select(F.concat(F.lit("memo-"), F.col("run_no").cast("string")).alias("id")))
+    return index.chunks().select(*UNIT[:4])
+
+
+def gram_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The grams themselves, in hexadecimal, of short texts with grams of at most 32 bytes."""
+    chunks = _chunks(spark, d).where("octet_length(text) <= 200")
+    return grams.spelled(chunks, 32)
+
+
 def index_status(spark: SparkSession, d: str) -> DataFrame:
     return store.index_status(_chunks(spark, d))
 
@@ -251,6 +322,14 @@ QUERIES = {
     "gram_postings": gram_postings,
     "gram_frequencies": gram_frequencies,
     "posting_lists": posting_lists,
+    "gram_spans": gram_spans,
+    "prefilter_off": prefilter_off,
+    "comparison_of_regex": comparison_of_regex,
+    "stored_changes": stored_changes,
+    "stored_search": stored_search,
+    "stored_status": stored_status,
+    "stored_compact": stored_compact,
+    "stored_deletes": stored_deletes,
     "candidates_and": _candidates("Dovit.*archive"),
     "candidates_or": _candidates("Dovit|Pirra|Vesk"),
     "index_status": index_status,
@@ -334,7 +413,39 @@ matches AS (
     CAST(list_sum(list_transform(p[1:k], lambda x: length(x))) + 5 * (k - 1) + 1 AS INTEGER) AS "column", excerpt, 5 AS match_length
   FROM found)"""
 
+_HASHED = f"WITH {gram_sql.grams(128)}, {gram_sql.HASHED}"
+_CHANGED = f"""last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY collection, id ORDER BY arrived_at DESC, delivery_id DESC) AS k FROM record_feed) WHERE k = 1),
+{_UNITS},
+fresh AS (
+  SELECT id, collection, 'title' AS field, title AS text FROM last WHERE op = 'upsert' AND title <> ''
+  UNION ALL SELECT id, collection, 'body', body FROM last WHERE op = 'upsert' AND body <> ''
+  UNION ALL SELECT id, collection, e.key, e.value FROM (SELECT id, collection, unnest(map_entries(fields)) AS e FROM last WHERE op = 'upsert') WHERE e.value <> ''),
+active AS (
+  SELECT id AS record_id, collection, field, text, row_no AS place FROM unit u WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.collection = u.collection AND l.id = u.id)
+  UNION ALL SELECT id, collection, field, text, 0 FROM fresh)"""
+
 ORACLE = {
+    "gram_spans": f"WITH {gram_sql.grams(32, 'strlen(text) <= 200')} SELECT gram_hex, chunk_id FROM found",
+    "gram_postings": f"{_HASHED} SELECT gram, chunk_id FROM hashed",
+    "gram_frequencies": f"{_HASHED} SELECT gram, count(*) AS chunks FROM hashed GROUP BY gram",
+    "posting_lists": f"{_HASHED} SELECT gram, CAST(floor(chunk_id / 65536.0) AS BIGINT) AS block, string_agg(CAST(chunk_id AS VARCHAR), ' ' ORDER BY chunk_id) AS chunks FROM hashed GROUP BY gram, block",
+    "candidates_and": f"WITH {gram_sql.grams(128)} {gram_sql.having_all('Dovi', 'vit', 'arc', 'chi', 'ive')}",
+    "candidates_or": f"WITH {gram_sql.grams(128)} ({gram_sql.having_all('Dovi', 'vit')}) UNION ({gram_sql.having_all('Pir', 'irra')}) UNION ({gram_sql.having_all('Vesk')})",
+    "record_chunks": f"""WITH RECURSIVE {_UNITS}, {gram_sql.pieces("unit", 1024, 64)},
+        ids AS (SELECT row_no, field, t, row_number() OVER (ORDER BY row_no, no, field, nth) - 1 AS chunk_id, CAST(row_number() OVER (PARTITION BY row_no, no, field ORDER BY nth) - 1 AS INTEGER) AS ordinal FROM piece WHERE t <> '')
+        SELECT chunk_id, id AS record_id, collection, field, ordinal, t AS text FROM ids JOIN records USING (row_no)""",
+    "prefilter_off": _report_sql(*_LIT[:2]),
+    "comparison_of_regex": f"""WITH {_UNITS}
+        SELECT 'trigram_phrase' AS engine, CAST(-1 AS BIGINT) AS matched_records, false AS available UNION ALL SELECT 'contains', -1, false UNION ALL SELECT 'wildcard', -1, false
+        UNION ALL SELECT 'scan', count(DISTINCT row_no), true FROM unit WHERE regexp_matches(text, 'Dovit (closed|opened)')""",
+    "stored_changes": f"WITH {_CHANGED} SELECT record_id, collection, field, CAST(0 AS INTEGER) AS ordinal, text FROM active",
+    "stored_search": f"WITH {_CHANGED} SELECT record_id, collection, field, text, {_LIT[1]} AS match_count FROM active WHERE {_LIT[0]}",
+    "stored_status": f"""WITH {_CHANGED} SELECT count(DISTINCT (collection, record_id)) AS record_count, count(*) AS chunk_count, CAST(sum(strlen(text)) AS BIGINT) AS resident_bytes,
+        (SELECT count(*) FROM fresh) AS overlay_chunk_count FROM active""",
+    "stored_compact": f"""WITH {_CHANGED} SELECT row_number() OVER (ORDER BY collection, record_id, field, place) - 1 AS chunk_id, record_id, collection, field, CAST(0 AS INTEGER) AS ordinal,
+        CAST(0 AS BIGINT) AS overlay, CAST(0 AS BIGINT) AS dead FROM active""",
+    "stored_deletes": f"""WITH {_UNITS} SELECT id AS record_id, collection, field, CAST(0 AS INTEGER) AS ordinal FROM unit
+        WHERE NOT (collection = 'notes' AND id IN (SELECT id FROM record_feed WHERE op = 'delete')) AND id NOT IN (SELECT 'memo-' || run_no FROM ingest_runs)""",
     "record_search_literal": _hits_sql(*_LIT),
     "record_search_insensitive": _hits_sql(*_CI),
     "record_search_regex": _hits_sql(f"regexp_matches(text, '{_P}')", _REGEX_COUNT, _REGEX_EXCERPT),
