@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.operators.globs import glob_regex
@@ -69,7 +72,40 @@ def ignored_with_parents(path: Column, rules: list[IgnoreRule]) -> Column:
     return ignored(path, rules) | F.exists(above, lambda p: F.coalesce(ignored(p, rules, True), F.lit(False)))
 
 
-def rules_frame(spark: SparkSession, rules: list[IgnoreRule]) -> DataFrame:
-    """The rules as a table, with their order, for joining with paths."""
-    rows = [(k, r.base, r.regex, r.negated, r.directories_only, r.name_only) for k, r in enumerate(rules)]
-    return spark.createDataFrame(rows, "rule_no int, base string, regex string, negated boolean, directories_only boolean, name_only boolean")
+#: Rules up to which they become one expression of the plan.
+IN_PLAN = 50
+
+
+def _matcher(rules: list[IgnoreRule]):
+    """ignored_with_parents for many rules: those of a path's own folders, by folder."""
+    by_base: dict[str, list[tuple[re.Pattern[str], IgnoreRule]]] = {}
+    for r in rules:
+        by_base.setdefault(r.base, []).append((re.compile(r.regex), r))
+
+    def decided(path: str, directory: bool) -> bool:
+        out, parts = False, path.split("/")
+        for k in range(len(parts)):
+            below = "/".join(parts[k:])
+            for pattern, r in by_base.get("/".join(parts[:k]), ()):
+                if (directory or not r.directories_only) and pattern.search(parts[-1] if r.name_only else below):
+                    out = not r.negated
+        return out
+
+    def any_ignored(path: str) -> bool:
+        parts = path.split("/")
+        return decided(path, False) or any(decided("/".join(parts[:k]), True) for k in range(1, len(parts)))
+
+    return any_ignored
+
+
+def without_ignored(rows: DataFrame, rules: list[IgnoreRule]) -> DataFrame:
+    """The rows whose relative_path no rule ignores; many rules are matched in the tasks, as a plan could not hold them."""
+    if len(rules) <= IN_PLAN:
+        return rows.where(~ignored_with_parents(F.col("relative_path"), rules))
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matches = _matcher(rules)
+        for b in batches:
+            yield b[[not matches(p) for p in b.relative_path]]
+
+    return rows.mapInPandas(keep, rows.schema)

@@ -6,6 +6,10 @@ compared; documents stand for files, one per document, with source and language
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -174,6 +178,41 @@ def stored_deletes(spark: SparkSession, d: str) -> DataFrame:
     return index.chunks().select(*UNIT[:4])
 
 
+def _as_files(rows: DataFrame, root: str) -> None:
+    """Writes relative_path, text as files in the tasks."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, base = fs.FileSystem.from_uri(root)
+        for b in batches:
+            for path, text in zip(b.relative_path, b.text, strict=True):
+                where.create_dir(f"{base}/{path.rpartition('/')[0]}")
+                with where.open_output_stream(f"{base}/{path}") as f:
+                    f.write(text.encode())
+            yield b[["relative_path"]]
+
+    rows.mapInPandas(write, "relative_path string").count()
+
+
+def _updated_files(spark: SparkSession, d: str) -> files.FileIndex:
+    """An index of documents as files, made when some were shorter and others not there, and then brought up to date."""
+    shared = scratch(spark, "stored-files")
+    root = shared if "://" in shared else f"file://{shared.removeprefix('file:')}"
+    now = _files(spark, d).where("text IS NOT NULL")
+    _as_files(now.where("relative_path NOT LIKE 'none/%'").withColumn("text", F.when(F.col("relative_path").contains("/en/"), F.substring("text", 1, 40)).otherwise(F.col("text"))), root)
+    files.FileIndex.create(spark, root, f"{shared}-index")
+    _as_files(now, root)
+    return files.FileIndex.update(spark, root, f"{shared}-index")
+
+
+def stored_file_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Matches of each file by the postings of base and overlay."""
+    return _updated_files(spark, d).search("Dovit", FileQuery(literal=True), "indexed").counts().select("relative_path", "match_count")
+
+
+def stored_file_status(spark: SparkSession, d: str) -> DataFrame:
+    return _updated_files(spark, d).status().select("file_count", "byte_count", (F.col("overlay_file_count") - F.col("tombstone_count")).alias("added"))
+
+
 def gram_spans(spark: SparkSession, d: str) -> DataFrame:
     """The grams themselves, in hexadecimal, of short texts with grams of at most 32 bytes."""
     chunks = _chunks(spark, d).where("octet_length(text) <= 200")
@@ -322,6 +361,8 @@ QUERIES = {
     "gram_postings": gram_postings,
     "gram_frequencies": gram_frequencies,
     "posting_lists": posting_lists,
+    "stored_file_counts": stored_file_counts,
+    "stored_file_status": stored_file_status,
     "gram_spans": gram_spans,
     "prefilter_off": prefilter_off,
     "comparison_of_regex": comparison_of_regex,
@@ -434,6 +475,8 @@ ORACLE = {
     "record_chunks": f"""WITH RECURSIVE {_UNITS}, {gram_sql.pieces("unit", 1024, 64)},
         ids AS (SELECT row_no, field, t, row_number() OVER (ORDER BY row_no, no, field, nth) - 1 AS chunk_id, CAST(row_number() OVER (PARTITION BY row_no, no, field ORDER BY nth) - 1 AS INTEGER) AS ordinal FROM piece WHERE t <> '')
         SELECT chunk_id, id AS record_id, collection, field, ordinal, t AS text FROM ids JOIN records USING (row_no)""",
+    "stored_file_counts": f"WITH {_FILES} SELECT relative_path, {_LIT[1]} AS match_count FROM files WHERE {_LIT[0]}",
+    "stored_file_status": f"WITH {_FILES} SELECT count(*) AS file_count, CAST(sum(strlen(text)) AS BIGINT) AS byte_count, count(*) FILTER (relative_path LIKE 'none/%') AS added FROM files WHERE text IS NOT NULL",
     "prefilter_off": _report_sql(*_LIT[:2]),
     "comparison_of_regex": f"""WITH {_UNITS}
         SELECT 'trigram_phrase' AS engine, CAST(-1 AS BIGINT) AS matched_records, false AS available UNION ALL SELECT 'contains', -1, false UNION ALL SELECT 'wildcard', -1, false

@@ -8,7 +8,7 @@ from quarrystone.operators import baselines
 from quarrystone.operators.files import FileIndex
 from quarrystone.operators.postings import id_ranges
 from quarrystone.operators.store import Generations, RecordIndex
-from quarrystone.sources.crawl import head_commit
+from quarrystone.sources.crawl import Folder, head_commit
 from quarrystone.sources.providers import CallableProvider, records_frame
 
 R1 = dict(id="r1", collection="messages", title="Sparse indexing", body="This chat memory uses sparse indexing for fast lookup.", tags=["memory", "chat"], metadata={"conversation": "alpha"})
@@ -114,10 +114,10 @@ def test_candidates_narrow_the_scan(spark, tmp_path):
     rows = [dict(id=f"{k:05d}", collection="c", body=f"record {k} " + ("needle" if k in (70, 71, 3000) else "straw")) for k in range(4000)]
     index = RecordIndex(spark, RecordIndexConfig(storage=str(tmp_path / "ix")))
     index.replace_all(records_frame(spark, rows))
-    hits = index.search(RecordQuery("needle"), "indexed")[0]
+    hits = index.search(RecordQuery("needle", smart_case=False), "indexed")[0]
     assert {r.record_id for r in hits.collect()} == {"00070", "00071", "03000"}
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
-    again = index.search(RecordQuery("needle"), "indexed")[0]
+    again = index.search(RecordQuery("needle", smart_case=False), "indexed")[0]
     plan = spark._jvm.PythonSQLUtils.explainString(again._jdf.queryExecution(), "formatted")
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "PushedFilters" in plan and "LessThanOrEqual(chunk_id,71)" in plan and "Join" not in plan
@@ -188,6 +188,26 @@ def paths(index):
     return [r.relative_path for r in index.files.orderBy("doc_id").collect()]
 
 
+def test_crawl_of_many_rounds(spark, tree, monkeypatch):
+    monkeypatch.setattr("quarrystone.sources.crawl.WALK", 1)
+    monkeypatch.setattr("quarrystone.sources.crawl.READ_BYTES", 1)
+    assert paths(FileIndex.build(spark, f"file://{tree}", CONFIG)) == SEEN
+    os.symlink(tree, tree / "sub" / "loop")
+    found = paths(FileIndex.build(spark, str(tree), IndexConfig(max_file_bytes=1000, follow_symlinks=True)))
+    assert "link.md" in found and not any("loop" in p for p in found)
+
+
+def test_crawl_by_address(tree):
+    """What pyarrow lists of a folder is what the mounted one holds, but for links."""
+    here, there = Folder(str(tree)), Folder(str(tree))
+    from pyarrow import fs
+
+    there.remote = fs.LocalFileSystem()
+    entries = lambda f: {e[:3] for e in f.entries("") if e[0] != "link.md"}
+    assert {(n, d, 0 if d else s) for n, d, s in entries(there)} == entries(here)
+    assert there.read("README.md", 6) == here.read("README.md", 6) == b"Search" and there.read("absent") is None
+
+
 def test_crawl(spark, tree):
     assert paths(FileIndex.build(spark, str(tree), CONFIG)) == SEEN
     more = FileIndex.build(spark, str(tree), IndexConfig(include_hidden=True, respect_ignore_files=False, follow_symlinks=True, skipped_directories=()))
@@ -230,6 +250,16 @@ def test_head_commit(tmp_path):
     (tmp_path / ".git" / "HEAD").write_text("ref: refs/heads/main\n")
     (tmp_path / ".git" / "refs" / "heads" / "main").write_text("abc123\n")
     assert head_commit(str(tmp_path)) == "abc123"
+    (tmp_path / ".git" / "refs" / "heads" / "main").unlink()
+    (tmp_path / ".git" / "packed-refs").write_text("# pack-refs with: peeled\nfff000 refs/heads/other\ndef456 refs/heads/main\n")
+    assert head_commit(str(tmp_path)) == "def456"
+    work = tmp_path / ".git" / "worktrees" / "w"
+    work.mkdir(parents=True)
+    (work / "HEAD").write_text("ref: refs/heads/other\n")
+    (work / "commondir").write_text("../..\n")
+    (tmp_path / "linked").mkdir()
+    (tmp_path / "linked" / ".git").write_text(f"gitdir: {work}\n")
+    assert head_commit(str(tmp_path / "linked")) == "fff000"
 
 
 def test_benchmark_of_files(spark, tmp_path):
