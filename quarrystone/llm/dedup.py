@@ -126,6 +126,51 @@ def repeats_filter(digests: DataFrame, rows: int) -> tuple[bytes, int]:
     return out.tobytes(), bits
 
 
+def _local_members(bits: int):
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            for at in _places(b.h.to_numpy(np.int64), bits):
+                _set(seen, at)
+        for k in range(0, len(seen), SEGMENT):
+            if seen[k : k + SEGMENT].any():
+                yield pd.DataFrame({"segment": [k // SEGMENT], "seen": [zlib.compress(seen[k : k + SEGMENT].tobytes(), 1)]})
+
+    return build
+
+
+def _united(parts: pd.DataFrame) -> pd.DataFrame:
+    seen = np.zeros(SEGMENT, np.uint8)
+    for p in parts.seen:
+        p = np.frombuffer(zlib.decompress(p), np.uint8)
+        seen[: len(p)] |= p
+    return pd.DataFrame({"segment": parts.segment.iloc[:1], "seen": [zlib.compress(seen.tobytes(), 1)]})
+
+
+def member_filter(hashes: DataFrame) -> tuple[bytes, int]:
+    """A filter, compressed, of all values of h, and its number of bits. Beyond the values that MOST_BITS take, it lets
+    more others pass; it never keeps out one of its own."""
+    ship(hashes.sparkSession)
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (max(1, hashes.count()) * BITS_A_ROW - 1).bit_length()))
+    merged = hashes.mapInPandas(_local_members(bits), "segment long, seen binary").groupBy("segment").applyInPandas(_united, "segment long, seen binary")
+    out = np.zeros(max(bits // 8, SEGMENT), np.uint8)
+    for r in merged.toLocalIterator():
+        out[r.segment * SEGMENT : (r.segment + 1) * SEGMENT] = np.frombuffer(zlib.decompress(r.seen), np.uint8)
+    return zlib.compress(out.tobytes(), 1), bits
+
+
+def may_hold(held, bits: int):
+    """Whether a hash may be in the broadcast filter."""
+
+    def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        seen = np.frombuffer(zlib.decompress(held.value), np.uint8)
+        for h in batches:
+            p, q = _places(h.to_numpy(np.int64), bits)
+            yield pd.Series(_has(seen, p) & _has(seen, q))
+
+    return F.pandas_udf(test, "boolean")
+
+
 def digests(records: DataFrame) -> DataFrame:
     """row_no, the 128-bit digest of the canonical form, and 64 bits of it for the filters; sorted by those in each
     file of a table in the shared folder."""

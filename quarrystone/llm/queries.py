@@ -41,6 +41,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return sight.same_sight_pairs(table(spark, d, "records"), table(spark, d, "chunks"))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return sight.same_sight_classes(table(spark, d, "records"), table(spark, d, "chunks"))
+
+
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     return sight.consistent_values(table(spark, d, "records"), table(spark, d, "chunks")).select("field", "key", "form")
 
@@ -95,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "p4_found": p4_found,
     "p4_counts": p4_counts,
     "p5_found": p5_found,
+    "p5_classes": p5_classes,
     "p5_forms": p5_forms,
     "p7_found": p7_found,
     "p7_spans": p7_spans,
@@ -138,8 +143,11 @@ marked AS (
 
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _BLANKS = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
-_LOOK = {sight.CYRILLIC + sight.GREEK + "ё" + "Ё" + "ї" + "Ї": sight.CYRILLIC_AS + sight.GREEK_AS + "ë" + "Ë" + "ï" + "Ï"}
-_FROM, _TO = _WIDE + _BLANKS + next(iter(_LOOK)), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''") + " " * len(_BLANKS) + next(iter(_LOOK.values()))
+# Fixed values, on their own: the look-alike letters that the tables hold, each with the Latin one at the same place.
+_CYRILLIC, _CYRILLIC_AS = "АВЕЁКМНОРСТУХаеёорсухѕіїј", "ABEËKMHOPCTYXaeëopcyxsiïj"
+_GREEK, _GREEK_AS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαινρυγ", "ABEZHIKMNOPTYXoaivpuy"
+_FROM = _WIDE + _BLANKS + _CYRILLIC + _GREEK
+_TO = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''") + " " * len(_BLANKS) + _CYRILLIC_AS + _GREEK_AS
 _JOINS = "[\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{FE0F}]"
 
 
@@ -176,6 +184,10 @@ ORACLE: dict[str, str] = {
         FROM mix_targets WHERE target_share > 0""",
     "p5_found": f"""WITH {_VALUES}
         SELECT a.field, a.key AS key_a, b.key AS key_b FROM forms a JOIN forms b ON a.field = b.field AND a.form = b.form AND a.raw <> b.raw AND a.key < b.key""",
+    "p5_classes": f"""WITH {_VALUES}
+        SELECT field, key, class_key, links FROM (
+          SELECT field, key, min(key) OVER (PARTITION BY field, form) AS class_key, count(*) OVER (PARTITION BY field, form) - count(*) OVER (PARTITION BY field, form, raw) AS links FROM forms)
+        WHERE links > 0""",
     "p5_forms": f"WITH {_VALUES} SELECT field, key, form FROM forms",
     "p7_items": f"WITH {_LEAKS} SELECT item_id, count(DISTINCT doc_id) AS documents FROM windows JOIN phrases USING (run, p) GROUP BY item_id",
     "p7_found": f"WITH {_LEAKS} SELECT DISTINCT doc_id, item_id FROM windows JOIN phrases USING (run, p)",

@@ -20,18 +20,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrystone.functions.frames import BROADCAST_ROWS, cut, has_at_most, join_groups, python_batches, small
-
-# Letters of other scripts that look like a Latin one, each with that letter at the same place.
-CYRILLIC, CYRILLIC_AS = "аеорсухіјѕһԁԛԝАВЕКМНОРСТУХІЈЅԚԜ", "aeopcyxijshdqwABEKMHOPCTYXIJSQW"
-GREEK, GREEK_AS = "οΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oABEZHIKMNOPTYX"
-# Characters that show nothing. U+200D is one too unless it joins emoji.
-UNSEEN = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\ufeff"
+from quarrystone.functions.frames import cut, join_groups, python_batches, small
+from quarrystone.llm import dedup
+
+# Letters of other scripts that look like a Latin one (or a digit), each with that at the same place.
+CYRILLIC, CYRILLIC_AS = "аеорсухіјѕһԁԛԝѵүӏАВЕКМНОРСТУХІЈЅԚԜѴҮӀԌ", "aeopcyxijshdqwvylABEKMHOPCTYXIJSQWVYlG"
+GREEK, GREEK_AS = "οαγινρυκϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϿ", "oayivpuĸcjABEZHIKMNOPTYXCƆ"
+ARMENIAN, ARMENIAN_AS = "օսհոցզգյՕՍՏԼ", "ouhngqqjOUSL"
+CHEROKEE, CHEROKEE_AS = "ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏃᏎᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏳᏴ", "DRTiYAJEWMHYGZ4RWSVSLCPKdGB"
+LISU, LISU_AS = "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"
+LETTERS, LETTERS_AS = CYRILLIC + GREEK + ARMENIAN + CHEROKEE + LISU, CYRILLIC_AS + GREEK_AS + ARMENIAN_AS + CHEROKEE_AS + LISU_AS
+# Characters that show nothing (the default ignorable ones), but for those that turn the direction of
+# what follows, and for fillers of Korean syllables; U+3164 and U+FFA0 show as a blank. U+200D shows nothing unless it
+# joins emoji, U+FE0E and U+FE0F nothing unless they follow one, and tags nothing but behind the flag that they name.
+UNSEEN_RANGES = (
+    (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202C), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF),
+    (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
+)
+UNSEEN = "".join(chr(i) for a, b in UNSEEN_RANGES for i in range(a, b + 1))
+FILLERS = "\u3164\uffa0"
 JOINER = "\u200d"
 # Hyphens that look like the ordinary one.
 HYPHENS = "\u2010\u2011"
 EMOJI = "\U0001f000-\U0001faff\u2190-\u21ff\u2300-\u2328\u232b-\u27bf\u2b00-\u2bff"
+# Joined emoji, emoji with a choice of presentation, and flags spelled by tags: these stay as they are.
 JOINED = f"[{EMOJI}]\ufe0f?(?:{JOINER}[{EMOJI}]\ufe0f?)+"
+CHOSEN = f"[{EMOJI}#*0-9\u00a9\u00ae\u203c\u2049\u2122\u2139\u24c2\u3030\u303d\u3297\u3299][\ufe0e\ufe0f]"
+FLAG = "\U0001f3f4[\U000e0020-\U000e007e]+\U000e007f"
+KEPT = re.compile(f"{JOINED}|{FLAG}|{CHOSEN}")
 # Classes of <compat> characters that show just what they stand for: the micro sign, digraphs and
 # ligatures of letters, L with a dot, Arabic letters with high hamza, Lao and Tibetan digraphs, degrees, Hebrew letters as symbols,
 # roman numerals, radicals, Hangzhou tens. Not among them: Greek variants of another shape,
@@ -52,12 +68,12 @@ ALONE_AS = {ud.normalize("NFKC", c): c for c in map(chr, range(0x3131, 0x318F))}
 def _same_sight(c: str) -> str | None:
     """What a character with a compatibility decomposition shows, if its own shape adds nothing to be seen."""
     kind = ud.decomposition(c).partition(" ")[0]
-    if ud.category(c) == "Zs":
+    if ud.category(c) == "Zs" or c in FILLERS:
         return " "
     if "\uffa0" <= c <= "\uffdc":  # half-width Hangul letters: as the ordinary ones, which don't join either
         return chr(int(ud.decomposition(c).split()[1], 16))
     out = ud.normalize("NFKC", c)
-    if kind in ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>"):
+    if kind in ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<font>"):
         return out if out.strip() and not out.startswith(" ") else None
     return out if kind == "<compat>" and SAME_GLYPH.match(c) else None
 
@@ -65,8 +81,8 @@ def _same_sight(c: str) -> str | None:
 @lru_cache(1)
 def mapping() -> dict[str, str]:
     """The table for single characters, closed and checked."""
-    first = {c: s for i in range(0x80, sys.maxunicode + 1) if (c := chr(i)) and ud.decomposition(c)[:1] == "<" or ud.category(c) == "Zs" if (s := _same_sight(c)) is not None and s != c}
-    first |= dict(zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS, strict=True)) | dict.fromkeys(UNSEEN, "") | dict.fromkeys(HYPHENS, "-")
+    first = {c: s for i in range(0x80, sys.maxunicode + 1) if (c := chr(i)) and ud.decomposition(c)[:1] == "<" or ud.category(c) == "Zs" or c in FILLERS if (s := _same_sight(c)) is not None and s != c}
+    first |= dict(zip(LETTERS, LETTERS_AS, strict=True)) | dict.fromkeys(UNSEEN, "") | dict.fromkeys(HYPHENS, "-")
     out = {}
     for c in first:
         seen, now = {c}, first[c]
@@ -107,7 +123,7 @@ def _compiled() -> tuple[re.Pattern[str], dict[str, str]]:
     marks = "".join(c for c in every if ud.combining(c) or c in composing)
     marks += "".join(c for c, s in single.items() if s and ud.combining(s[0]))  # half-width sound marks
     m, unseen, keys = map(_class, (marks, UNSEEN, "".join(single)))
-    return re.compile(f"{JOINED}|[^\\s{unseen[1:-1]}](?:{unseen}*{m})+|{keys}"), {}
+    return re.compile(f"{KEPT.pattern}|[^\\s{unseen[1:-1]}](?:{unseen}*{m})+|{keys}"), {}
 
 
 def consistent(text: str) -> str:
@@ -122,7 +138,7 @@ def consistent(text: str) -> str:
         if (y := known.get(x)) is None:
             if x in single:
                 y = single[x]
-            elif re.fullmatch(JOINED, x):
+            elif KEPT.fullmatch(x):
                 y = x
             else:
                 y = ud.normalize("NFC", "".join(single.get(c, c) for c in ud.normalize("NFD", x)))
@@ -166,25 +182,49 @@ def consistent_values(records: DataFrame, chunks: DataFrame) -> DataFrame:
 
 #: Rows of one variant beyond which a join of two variants is spread over several tasks.
 PART_ROWS = 20_000
+GROUP = ["field", "form"]
 
 
-def same_sight_pairs(records: DataFrame, chunks: DataFrame) -> DataFrame:
-    """field, key_a < key_b: values of a field that differ in code points and have the same form.
+def _members(records: DataFrame, chunks: DataFrame) -> tuple[DataFrame, int]:
+    """(field, form, key, value: digests of the form and of the characters; the number of all values) of every value
+    whose form a rewritten value has too.
 
-    Two such values cannot both be in that form already, so only groups that hold a rewritten value are looked at.
-    Within them, distinct values are paired first and their rows after that; values that many rows share are spread.
+    Two values of one sight cannot both be in that form already, so only groups that hold a rewritten value matter. A
+    Bloom filter of the forms of rewritten values, of bounded size, leaves out nearly all other values where they lie;
+    what passes is grouped exactly.
     """
     digest = lambda c: F.unhex(F.md5(c))
     values = consistent_values(records, chunks)
     rows = cut(values.select("field", "key", digest("form").alias("form"), F.when(F.col("raw") != F.col("form"), digest("raw")).alias("other")))
-    group = ["field", "form"]
-    forms = rows.where("other IS NOT NULL").select(group).distinct()
-    if has_at_most(forms, BROADCAST_ROWS):
-        members = rows.join(F.broadcast(forms), group, "left_semi")
-    else:
-        groups = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("other").isNotNull()).alias("rewritten")).where("rewritten AND n > 1")
-        members = join_groups(rows, cut(groups), group, "n", rows.count())
-    members = cut(members.select(*group, "key", F.coalesce("other", "form").alias("value")))
+    h = F.xxhash64("field", "form")
+    bits, size = dedup.member_filter(rows.where("other IS NOT NULL").select(h.alias("h")))
+    held = rows.sparkSession.sparkContext.broadcast(bits)
+    may = cut(rows.where(dedup.may_hold(held, size)(h)))
+    groups = may.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("other").isNotNull()).alias("rewritten")).where("rewritten AND n > 1")
+    total = may.count()
+    members = join_groups(may, cut(groups), GROUP, "n", total)
+    return cut(members.select(*GROUP, "key", F.coalesce("other", "form").alias("value"))), total
+
+
+def same_sight_classes(records: DataFrame, chunks: DataFrame) -> DataFrame:
+    """field, key, class_key, links for every value that another of its field shows the same text as in other code
+    points: class_key is the smallest key of all values of that sight, links the number of those others. Linear in the
+    values, however many share a sight."""
+    members, total = _members(records, chunks)
+    each = members.groupBy(*GROUP, "value").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"))
+    whole = each.groupBy(GROUP).agg(F.sum("n").alias("all"), F.min("least").alias("class_key"), F.count(F.lit(1)).alias("variants")).where("variants > 1")
+    joined = cut(each.join(whole, GROUP).select(*GROUP, "value", "n", "class_key", (F.col("all") - F.col("n")).alias("links")))
+    return join_groups(members, joined, [*GROUP, "value"], "n", total).select("field", "key", "class_key", "links")
+
+
+def same_sight_pairs(records: DataFrame, chunks: DataFrame) -> DataFrame:
+    """field, key_a < key_b: values of a field that differ in code points and have the same form.
+
+    Distinct values of a group are paired first and their rows after that; values that many rows share are spread. All
+    pairs are the result that is asked for; same_sight_classes has the same links in linear size.
+    """
+    group = GROUP
+    members, _ = _members(records, chunks)
     variants = members.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
     mixed = variants.groupBy(*group).agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
     variants = variants.join(mixed, group, "left_semi")
