@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrystone.functions.frames import cut, join_groups, python_batches, small
+from quarrystone.functions.frames import cut, join_groups, python_batches
 from quarrystone.llm import dedup
 
 # Letters of other scripts that look like a Latin one (or a digit), each with that at the same place.
@@ -235,9 +235,8 @@ def same_sight_pairs(records: DataFrame, chunks: DataFrame) -> DataFrame:
         .where((F.col("value_a") != F.col("value_b")) & first)
         .select(*group, "value_a", "value_b", F.ceil(F.col("n_a") / PART_ROWS).cast("int").alias("parts"))
     )
-    sent = small(pairs)
-    left = members.withColumnRenamed("value", "value_a").join(sent, [*group, "value_a"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    right = members.withColumnRenamed("value", "value_b").join(sent, [*group, "value_b"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left = members.withColumnRenamed("value", "value_a").join(pairs, [*group, "value_a"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    right = members.withColumnRenamed("value", "value_b").join(pairs, [*group, "value_b"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keys = [*group, "value_a", "value_b", "part"]
     x = left.select(*keys, F.col("key").alias("x")).join(right.select(*keys, F.col("key").alias("y")), keys)
     return x.select("field", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
