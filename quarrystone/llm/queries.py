@@ -21,6 +21,19 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_bodies(table(spark, d, "records"), table(spark, d, "chunking_configs"))
 
 
+def p1_checks(spark: SparkSession, d: str) -> DataFrame:
+    """For each body: the digest of its pieces put together without what they repeat, and whether all are within the
+    limit of its collection."""
+    records = table(spark, d, "records")
+    got = split.split_bodies(records, table(spark, d, "chunking_configs"))
+    new = F.expr("substring(text, overlap_chars + 1)")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", new.alias("t")))), lambda x: x["t"]), "")
+    sizes = got.groupBy("row_no").agg(F.md5(whole).alias("body_md5"), F.max(F.octet_length("text")).alias("largest"))
+    limit = records.select("row_no", "collection").join(split.limits(table(spark, d, "chunking_configs")), "collection", "left")
+    joined = sizes.join(limit, "row_no")
+    return joined.select("row_no", "body_md5", (F.col("largest") <= F.coalesce("max_bytes", F.lit(split.DEFAULT_MAX_BYTES))).alias("within"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return dedup.copies(table(spark, d, "records"))
 
@@ -94,6 +107,7 @@ def p9_units(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p1_checks": p1_checks,
     "p2_found": p2_found,
     "p2_records": p2_records,
     "p4_found": p4_found,
@@ -175,6 +189,20 @@ phrases AS (SELECT DISTINCT item_id, run, substr(t, CAST(k AS BIGINT), run) AS p
 windows AS (SELECT DISTINCT doc_id, run, substr(t, CAST(k AS BIGINT), run) AS p FROM (SELECT doc_id, t, run, unnest(generate_series(1, length(t) - run + 1)) AS k FROM docs, (VALUES (20), (50)) r(run)))
 """
 
+_OUTER = r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$"
+_INNER = r"[\s\x1c-\x1f\x85\p{Z}]+"
+# The letters of leaked windows, islands of them as spans of characters, and what is left of each text.
+_SPANS = rf"""{_LEAKS},
+places AS (SELECT doc_id, run, CAST(k AS BIGINT) AS k, substr(t, CAST(k AS BIGINT), run) AS p FROM (SELECT doc_id, t, run, unnest(generate_series(1, length(t) - run + 1)) AS k FROM docs, (VALUES (20), (50)) r(run))),
+covered AS (SELECT DISTINCT doc_id, unnest(generate_series(k, k + run - 1)) AS n FROM places JOIN phrases USING (run, p)),
+texts AS (SELECT doc_id, min(text) AS text FROM documents WHERE doc_id IN (SELECT doc_id FROM covered) GROUP BY doc_id),
+chars AS (SELECT doc_id, c, ch, sum(CASE WHEN regexp_matches(lower(ch), '[\p{{L}}\p{{N}}\p{{M}}]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY c) AS n, regexp_matches(lower(ch), '[\p{{L}}\p{{N}}\p{{M}}]') AS is_letter
+  FROM (SELECT doc_id, c, substr(text, CAST(c AS BIGINT), 1) AS ch FROM (SELECT doc_id, text, unnest(generate_series(1, length(text))) AS c FROM texts))),
+hit AS (SELECT doc_id, c, n, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS island FROM chars JOIN covered USING (doc_id, n) WHERE is_letter),
+spans AS (SELECT doc_id, min(c) - 1 AS begin_char, max(c) AS end_char FROM hit GROUP BY doc_id, island),
+rest AS (
+  SELECT doc_id, coalesce(string_agg(ch, '' ORDER BY c), '') AS t FROM chars a WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = a.doc_id AND a.c > s.begin_char AND a.c <= s.end_char) GROUP BY doc_id)
+SELECT doc_id, begin_char, end_char, CAST(coalesce(length(regexp_replace(regexp_replace(t, '{_OUTER}', '', 'g'), '{_INNER}', ' ', 'g')), 0) AS BIGINT) AS chars_left FROM spans LEFT JOIN rest USING (doc_id)"""
 _SOURCE = "regexp_replace(lower(trim(source)), '[\\s_-]+', '_', 'g')"
 
 ORACLE: dict[str, str] = {
@@ -189,6 +217,8 @@ ORACLE: dict[str, str] = {
           SELECT field, key, min(key) OVER (PARTITION BY field, form) AS class_key, count(*) OVER (PARTITION BY field, form) - count(*) OVER (PARTITION BY field, form, raw) AS links FROM forms)
         WHERE links > 0""",
     "p5_forms": f"WITH {_VALUES} SELECT field, key, form FROM forms",
+    "p7_spans": f"WITH {_SPANS}",
+    "p1_checks": "SELECT row_no, md5(body) AS body_md5, true AS within FROM records WHERE body <> ''",
     "p7_items": f"WITH {_LEAKS} SELECT item_id, count(DISTINCT doc_id) AS documents FROM windows JOIN phrases USING (run, p) GROUP BY item_id",
     "p7_found": f"WITH {_LEAKS} SELECT DISTINCT doc_id, item_id FROM windows JOIN phrases USING (run, p)",
     "p1_found": """

@@ -12,13 +12,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarrystone.functions.frames import python_batches, small
 
@@ -129,25 +128,20 @@ def pieces(text: str, max_bytes: int, overlap_bytes: int, breaks: Sequence[str])
     return out
 
 
-SCHEMA = T.StructType(
-    [
-        T.StructField("row_no", T.LongType()),
-        T.StructField("piece_no", T.IntegerType()),
-        T.StructField("begin_char", T.LongType()),
-        T.StructField("overlap_chars", T.IntegerType()),
-        T.StructField("text", T.StringType()),
-    ]
-)
+def _split_each(bodies: pd.Series, most: pd.Series, lap: pd.Series, breaks: pd.Series) -> pd.DataFrame:
+    """Pieces of the bodies that are not NULL."""
+    rows = []
+    for body, m, o, b in zip(bodies, most, lap, breaks, strict=True):
+        if body is None:
+            rows.append((None, None, None))
+        else:
+            cut = pieces(body, m, o, list(b))
+            rows.append(([x for x, _, _ in cut], [n - x for x, n, _ in cut], [body[x:e] for x, _, e in cut]))
+    return pd.DataFrame(rows, columns=["begin_char", "overlap_chars", "text"])
 
 
-def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = [
-            (n, k, begin, new - begin, body[begin:end])
-            for n, body, most, lap, breaks in zip(b.row_no, b.body, b.max_bytes, b.lap_bytes, b.breaks, strict=True)
-            for k, (begin, new, end) in enumerate(pieces(body, most, lap, list(breaks)))
-        ]
-        yield pd.DataFrame(rows, columns=SCHEMA.names)
+def _split(*columns: Column | str) -> Column:
+    return F.pandas_udf(_split_each, "struct<begin_char:array<bigint>,overlap_chars:array<int>,text:array<string>>")(*columns)
 
 
 def limits(configs: DataFrame) -> DataFrame:
@@ -166,13 +160,8 @@ def limits(configs: DataFrame) -> DataFrame:
     )
 
 
-def split_bodies(records: DataFrame, configs: DataFrame) -> DataFrame:
-    """Pieces of every body: row_no, piece_no from 0, begin_char, overlap_chars shared with the piece before, text.
-
-    A body within its limit is one piece. NULL and empty bodies have none. A NULL collection, or one without a
-    setting, gets the defaults. Only row_no, collection and body are read, so other columns cannot clash. Rows that
-    occur twice are split twice.
-    """
+def _sized(records: DataFrame, configs: DataFrame) -> tuple[DataFrame, Column]:
+    """(row_no, body and the limits in force of every body that is not empty; whether it is over its limit)."""
     python_batches(records.sparkSession)
     sized = (
         records.select("row_no", "collection", "body")
@@ -186,17 +175,25 @@ def split_bodies(records: DataFrame, configs: DataFrame) -> DataFrame:
             F.coalesce("breaks", F.array(*map(F.lit, DEFAULT_BREAKS))).alias("breaks"),
         )
     )
-    over = F.octet_length("body") > F.col("max_bytes")
-    whole = sized.where(~over).select(
-        "row_no",
-        F.lit(0).alias("piece_no"),
-        F.lit(0).cast("long").alias("begin_char"),
-        F.lit(0).alias("overlap_chars"),
-        F.col("body").alias("text"),
-    )
-    return whole.unionByName(sized.where(over).mapInPandas(_split, SCHEMA))
+    return sized, F.octet_length("body") > F.col("max_bytes")
+
+
+def split_bodies(records: DataFrame, configs: DataFrame) -> DataFrame:
+    """Pieces of every body: row_no, piece_no from 0, begin_char, overlap_chars shared with the piece before, text.
+
+    A body within its limit is one piece. NULL and empty bodies have none. A NULL collection, or one without a
+    setting, gets the defaults. Only row_no, collection and body are read, so other columns cannot clash. Rows that
+    occur twice are split twice. One pass; only bodies over their limit leave the JVM.
+    """
+    sized, over = _sized(records, configs)
+    cut = sized.select("row_no", "body", _split(F.when(over, F.col("body")), "max_bytes", "lap_bytes", "breaks").alias("p"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("begin_char"), F.lit(0).alias("overlap_chars"), F.col("body").alias("text")))
+    each = F.when(F.col("p.text").isNull(), whole).otherwise(F.arrays_zip("p.begin_char", "p.overlap_chars", "p.text"))
+    return cut.select("row_no", F.posexplode(each).alias("piece_no", "piece")).select("row_no", "piece_no", "piece.*")
 
 
 def cut_rows(records: DataFrame, configs: DataFrame) -> DataFrame:
     """row_no of the bodies that had to be cut: those that have a second piece."""
-    return split_bodies(records, configs).where("piece_no = 1").select("row_no")
+    sized, over = _sized(records, configs)
+    cut = sized.where(over).select("row_no", _split("body", "max_bytes", "lap_bytes", "breaks").alias("p"))
+    return cut.where(F.size("p.text") > 1).select("row_no")
