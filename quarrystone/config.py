@@ -38,6 +38,11 @@ class MemoryBudget(_FromDict):
         object.__setattr__(self, "max_chunk_bytes", max(256, self.max_chunk_bytes))
 
 
+# Names of ignore files, and folders that a crawl leaves out.
+IGNORE_FILES = (".gitignore", ".frgignore")
+SKIPPED = (".build", ".frg", ".git", ".swiftpm", "DerivedData")
+
+
 @dataclass(frozen=True)
 class IndexConfig(_FromDict):
     max_gram_length: int = 128
@@ -45,9 +50,9 @@ class IndexConfig(_FromDict):
     include_hidden: bool = False
     follow_symlinks: bool = False
     respect_ignore_files: bool = True
-    ignore_files: tuple[str, ...] = (".gitignore", ".frgignore")
+    ignore_files: tuple[str, ...] = IGNORE_FILES
     max_file_bytes: int = 10 << 20
-    skipped_directories: tuple[str, ...] = (".build", ".frg", ".git", ".swiftpm", "DerivedData")
+    skipped_directories: tuple[str, ...] = SKIPPED
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "max_gram_length", max(2, self.max_gram_length))

@@ -99,6 +99,9 @@ def ship(spark: SparkSession) -> None:
 
 def python_batches(spark: SparkSession, mb: int = 8) -> None:
     """Prepares for Python workers: sends them the package, and bounds what one gets at once by bytes, as texts may be
-    long."""
+    long. The bound is the session's, as Spark has no other; it is only ever lowered."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(bound)))
+    if now <= 0 or now > mb << 20:
+        spark.conf.set(bound, str(mb << 20))

@@ -68,14 +68,13 @@ def _chunker(config: ChunkingConfig):
 
 
 def chunk_rows(records: DataFrame, config: ChunkingConfig = ChunkingConfig(), keep: tuple[str, ...] = ()) -> DataFrame:
-    """Chunks without ids. Only texts over the limit leave the JVM; the others are one chunk each, as they are."""
+    """Chunks without ids, in one pass. Only texts over the limit leave the JVM; the others are one chunk each, as they
+    are."""
     python_batches(records.sparkSession)
     rows = units(records, keep)
     over = F.octet_length("text") > config.max_chunk_bytes
-    whole = rows.where(~over).withColumn("segments", F.array("text"))
-    split = rows.where(over).withColumn("segments", _chunker(config)("text"))
-    both = whole.unionByName(split).drop("text")
-    return both.select("record_id", "collection", "field", "field_no", "updated_at_epoch_seconds", "tags", "metadata", *keep, F.posexplode("segments").alias("ordinal", "text")).where("text <> ''")
+    cut_ = rows.withColumn("segments", F.coalesce(_chunker(config)(F.when(over, F.col("text"))), F.array("text"))).drop("text")
+    return cut_.select("record_id", "collection", "field", "field_no", "updated_at_epoch_seconds", "tags", "metadata", *keep, F.posexplode("segments").alias("ordinal", "text")).where("text <> ''")
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "chunk_id", start: int = 0) -> DataFrame:

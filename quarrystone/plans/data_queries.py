@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarrystone.functions.frames import scratch, table
+from quarrystone.functions.frames import cut, scratch, table
 from quarrystone.operators import incremental, snapshots
+from quarrystone.sources.crawl import write_files
 from quarrystone.streaming.changes import latest_in_batches, latest_of_batches
 
 
@@ -17,6 +21,37 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.pending_deliveries(table(spark, d, "record_feed"), table(spark, d, "ingest_runs"))
 
 
+def p6_files(spark: SparkSession, d: str) -> DataFrame:
+    """Days of deliveries as files of a folder, of a bounded number of lines each, which three runs work through: over the first of them, over all of
+    them with the last ones cut short (a run that dies before its commit, and the one after it), and over those that
+    have grown or changed back. What holds in the end is each delivery once, whatever was written on the way."""
+    where = scratch(spark, "p6-files")
+    root = where if "://" in where else f"file://{where.removeprefix('file:')}"
+    feed = table(spark, d, "record_feed").where("arrived_at IS NOT NULL")
+    lines = feed.select(F.date_format("arrived_at", "yyyy-MM-dd").alias("day"), F.floor(F.col("delivery_id") / 10_000).alias("part"), F.col("delivery_id").cast("string").alias("line"))
+    days = cut(lines.groupBy("day", "part").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text")))
+    names = sorted(r.day for r in days.select("day").distinct().collect())  # a name for each day
+    middle, late = names[len(names) // 2], names[-len(names) // 4]
+    files = days.select(F.concat("day", F.lit("-"), F.col("part").cast("string"), F.lit(".txt")).alias("relative_path"), "text", "day")
+    runs = incremental.FileRuns(spark, root, f"{where}-runs")
+    process = lambda entries, paths: spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"))
+
+    def dies() -> None:
+        raise InterruptedError
+
+    write_files(files.where(F.col("day") < middle), root)
+    runs.run(process)
+    short = F.when(F.col("day") >= late, F.substring_index("text", "\n", 1)).otherwise(F.col("text"))
+    write_files(files.where(F.col("day") >= middle).withColumn("text", short), root)
+    write_files(files.where(F.col("day") == names[0]).withColumn("text", F.lit("none")), root)
+    with contextlib.suppress(InterruptedError):
+        runs.run(process, before_commit=dies)
+    runs.run(process)
+    write_files(files.where((F.col("day") >= late) | (F.col("day") == names[0])), root)
+    runs.run(process)
+    return runs.results().select(F.col("value").cast("long").alias("delivery_id"), F.regexp_extract("path", r"([0-9]+-[0-9]+-[0-9]+)-[0-9]+\.txt$", 1).alias("day"))
+
+
 def stream_upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     """The feed as a stream, a few files at a time, to the last version of every record."""
     feed = f"{d}/record_fee[d].parquet"  # a pattern, as a stream's path must be a folder or a pattern
@@ -26,7 +61,7 @@ def stream_upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     return latest_of_batches(spark.read.parquet(out)).select("collection", "id", "delivery_id", "updated_at_epoch_seconds")
 
 
-QUERIES = {"stream_upsert_latest": stream_upsert_latest, "p3_found": p3_found, "p6_found": p6_found}
+QUERIES = {"stream_upsert_latest": stream_upsert_latest, "p3_found": p3_found, "p6_found": p6_found, "p6_files": p6_files}
 
 _CURRENT = """
 current AS (
@@ -58,6 +93,7 @@ ORACLE = {
         FROM later l FULL OUTER JOIN earlier e ON l.snapshot_no = e.later AND l.collection = e.collection AND l.id = e.id
         WHERE e.id IS NULL OR l.id IS NULL OR l.title <> e.title OR l.body <> e.body OR l.fields IS DISTINCT FROM e.fields
           OR l.metadata IS DISTINCT FROM e.metadata OR l.tags IS DISTINCT FROM e.tags""",
+    "p6_files": "SELECT delivery_id, strftime(arrived_at, '%Y-%m-%d') AS day FROM record_feed WHERE arrived_at IS NOT NULL",
     "p6_found": f"""WITH {_VERSIONS}
         SELECT arg_min(delivery_id, (arrived_at, delivery_id)) AS delivery_id FROM seen GROUP BY version HAVING NOT bool_or(is_read)""",
 }

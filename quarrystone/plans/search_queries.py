@@ -6,10 +6,6 @@ compared; documents stand for files, one per document, with source and language
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +16,7 @@ from quarrystone.operators import baselines, files, grams, ignore, postings, rec
 from quarrystone.operators.globs import glob_regex
 from quarrystone.operators.planner import plan_regex
 from quarrystone.plans import gram_sql
-from quarrystone.sources.crawl import relative_to
+from quarrystone.sources.crawl import relative_to, write_files
 
 LITERAL = RecordQuery("Dovit")
 INSENSITIVE = RecordQuery("archive box")
@@ -178,29 +174,14 @@ def stored_deletes(spark: SparkSession, d: str) -> DataFrame:
     return index.chunks().select(*UNIT[:4])
 
 
-def _as_files(rows: DataFrame, root: str) -> None:
-    """Writes relative_path, text as files in the tasks."""
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        where, base = fs.FileSystem.from_uri(root)
-        for b in batches:
-            for path, text in zip(b.relative_path, b.text, strict=True):
-                where.create_dir(f"{base}/{path.rpartition('/')[0]}")
-                with where.open_output_stream(f"{base}/{path}") as f:
-                    f.write(text.encode())
-            yield b[["relative_path"]]
-
-    rows.mapInPandas(write, "relative_path string").count()
-
-
 def _updated_files(spark: SparkSession, d: str) -> files.FileIndex:
     """An index of documents as files, made when some were shorter and others not there, and then brought up to date."""
     shared = scratch(spark, "stored-files")
     root = shared if "://" in shared else f"file://{shared.removeprefix('file:')}"
     now = _files(spark, d).where("text IS NOT NULL")
-    _as_files(now.where("relative_path NOT LIKE 'none/%'").withColumn("text", F.when(F.col("relative_path").contains("/en/"), F.substring("text", 1, 40)).otherwise(F.col("text"))), root)
+    write_files(now.where("relative_path NOT LIKE 'none/%'").withColumn("text", F.when(F.col("relative_path").contains("/en/"), F.substring("text", 1, 40)).otherwise(F.col("text"))), root)
     files.FileIndex.create(spark, root, f"{shared}-index")
-    _as_files(now, root)
+    write_files(now, root)
     return files.FileIndex.update(spark, root, f"{shared}-index")
 
 
@@ -481,6 +462,14 @@ ORACLE = {
     "comparison_of_regex": f"""WITH {_UNITS}
         SELECT 'trigram_phrase' AS engine, CAST(-1 AS BIGINT) AS matched_records, false AS available UNION ALL SELECT 'contains', -1, false UNION ALL SELECT 'wildcard', -1, false
         UNION ALL SELECT 'scan', count(DISTINCT row_no), true FROM unit WHERE regexp_matches(text, 'Dovit (closed|opened)')""",
+    "active_set": f"""WITH RECURSIVE last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY collection, id ORDER BY arrived_at DESC, delivery_id DESC) AS k FROM record_feed) WHERE k = 1),
+        renewed AS (
+          SELECT delivery_id AS row_no, 0 AS no, 'title' AS field, title AS text FROM last WHERE op = 'upsert' AND title <> ''
+          UNION ALL SELECT delivery_id, 1, 'body', body FROM last WHERE op = 'upsert' AND body <> ''
+          UNION ALL SELECT delivery_id, 2, e.key, e.value FROM (SELECT delivery_id, unnest(map_entries(fields)) AS e FROM last WHERE op = 'upsert') WHERE e.value <> ''),
+        {gram_sql.pieces("renewed", 8192, 64)}
+        SELECT record_id, collection, field, text FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.collection = c.collection AND l.id = c.record_id)
+        UNION ALL SELECT id, collection, field, t FROM piece JOIN last ON delivery_id = row_no WHERE t <> ''""",
     "stored_changes": f"WITH {_CHANGED} SELECT record_id, collection, field, CAST(0 AS INTEGER) AS ordinal, text FROM active",
     "stored_search": f"WITH {_CHANGED} SELECT record_id, collection, field, text, {_LIT[1]} AS match_count FROM active WHERE {_LIT[0]}",
     "stored_status": f"""WITH {_CHANGED} SELECT count(DISTINCT (collection, record_id)) AS record_count, count(*) AS chunk_count, CAST(sum(strlen(text)) AS BIGINT) AS resident_bytes,

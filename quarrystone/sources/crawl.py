@@ -195,6 +195,24 @@ def head_commit(root: str) -> str | None:
     return next((commit for commit, _, name in packed if name == head[5:]), None)
 
 
+def write_files(rows: DataFrame, root: str) -> None:
+    """Writes relative_path, text as files below a folder, in the tasks; what is there is replaced."""
+    ship(rows.sparkSession)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        where, base = fs.FileSystem.from_uri(root)
+        for b in batches:
+            for path, text in zip(b.relative_path, b.text, strict=True):
+                where.create_dir(f"{base}/{path}".rpartition("/")[0])
+                with where.open_output_stream(f"{base}/{path}") as f:
+                    f.write(text.encode())
+            yield b[["relative_path"]]
+
+    rows.select("relative_path", "text").mapInPandas(write, "relative_path string").count()
+
+
 def crawl(spark: SparkSession, root: str, config: IndexConfig = IndexConfig()) -> DataFrame:
     """doc_id (by path, from 0), relative_path, byte_count, modified_at_epoch_seconds, content of the text files.
 
