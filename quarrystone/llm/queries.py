@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.functions.frames import table
@@ -88,12 +88,11 @@ def p8_margins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_checks(spark: SparkSession, d: str) -> DataFrame:
-    """For each source with a target: whether it is in the mixture, keeps its cap of repeats, and has its share to
-    within two hundredths of all tokens, as shares of sources with documents go."""
-    got = mix.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
-    share = F.col("target_share") / F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).over(Window.partitionBy())
-    near = (F.col("tokens") == 0) | (F.abs(F.col("reached_share") - share) <= 0.02)
-    return got.select("source", "max_repeats", (F.col("tokens") > 0).alias("used"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"), near.alias("near_share"))
+    """For each source with a target: whether it is wanted in the mixture, keeps its cap of repeats, and comes to its
+    tokens, give or take a hundredth or its longest document."""
+    got = mix.deviations(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    near = F.abs(F.col("tokens") - F.col("wanted_tokens")) <= F.greatest(F.col("wanted_tokens") * 0.01, F.col("longest"))
+    return got.select("source", "max_repeats", (F.col("wanted_tokens") > 0).alias("used"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"), near.alias("near_share"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
