@@ -62,8 +62,9 @@ def candidates(plan: Plan, postings: DataFrame) -> DataFrame | None:
     return out
 
 
-#: Candidates up to which a scan is narrowed by their ids, and the ranges of ids that are pushed down to it.
-FEW, RANGES = 10_000, 64
+#: Candidates up to which their ids go to the scan, at most 2 MB; those up to which they are part of its filter; and
+#: the ranges of ids that are pushed down.
+FEW, IN_FILTER, RANGES = 100_000, 500, 64
 
 
 def id_ranges(ids: list[int], most: int = RANGES) -> list[tuple[int, int]]:
@@ -77,17 +78,20 @@ def restricted(chunks: DataFrame, plan: Plan, postings: DataFrame) -> DataFrame:
     """The chunks that a plan lets through.
 
     Few candidates go to the scan: as ranges of ids, which Parquet checks against its row groups and pages, and as the
-    ids themselves, before any text is looked at. So a store that is sorted by ids reads and verifies little more than
-    the candidates. Many are joined, by a way left to their size at run time.
+    ids themselves, in the filter or broadcast, before any text is looked at. So a store that is sorted by ids reads
+    little more than the candidates, and the postings are searched once. Many candidates are joined, by a way left to
+    their size at run time.
     """
     ids = candidates(plan, postings)
     if ids is None:
         return chunks
-    some = ids.limit(FEW + 1).collect()
-    if len(some) > FEW:
+    some = ids.limit(FEW + 1).toArrow()
+    if some.num_rows > FEW:
         return chunks.join(ids, "chunk_id", "left_semi")
-    found = sorted(r.chunk_id for r in some)
-    within = F.lit(False)
-    for first, last in id_ranges(found):
-        within = within | F.col("chunk_id").between(first, last)
-    return chunks.where(within).where(F.col("chunk_id").isin(found))
+    found = sorted(some.column("chunk_id").to_pylist())
+    if not found:
+        return chunks.where("false")
+    near = chunks.where(" OR ".join(f"chunk_id BETWEEN {a}L AND {b}L" for a, b in id_ranges(found)))
+    if len(found) <= IN_FILTER:
+        return near.where(f"chunk_id IN ({', '.join(f'{i}L' for i in found)})")
+    return near.join(F.broadcast(chunks.sparkSession.createDataFrame(some)), "chunk_id", "left_semi")

@@ -109,7 +109,7 @@ def test_lock_of_a_dead_writer(spark, tmp_path, monkeypatch):
         store._write_current({})
 
 
-def test_candidates_narrow_the_scan(spark, tmp_path):
+def test_candidates_narrow_the_scan(spark, tmp_path, monkeypatch):
     """Files of a store that hold no candidate are not read, and pages of the others are chosen by id."""
     rows = [dict(id=f"{k:05d}", collection="c", body=f"record {k} " + ("needle" if k in (70, 71, 3000) else "straw")) for k in range(4000)]
     index = RecordIndex(spark, RecordIndexConfig(storage=str(tmp_path / "ix")))
@@ -121,6 +121,11 @@ def test_candidates_narrow_the_scan(spark, tmp_path):
     plan = spark._jvm.PythonSQLUtils.explainString(again._jdf.queryExecution(), "formatted")
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "PushedFilters" in plan and "LessThanOrEqual(chunk_id,71)" in plan and "Join" not in plan
+    monkeypatch.setattr("quarrystone.operators.postings.IN_FILTER", 1)
+    assert {r.record_id for r in index.search(RecordQuery("needle", smart_case=False), "indexed")[0].collect()} == {"00070", "00071", "03000"}
+    monkeypatch.setattr("quarrystone.operators.postings.FEW", 1)
+    assert index.search(RecordQuery("needle", smart_case=False), "indexed")[1].first().candidate_chunk_count == 3
+    assert index.search(RecordQuery("absent7", smart_case=False), "indexed")[1].first().candidate_chunk_count == 0
     assert id_ranges([1, 2, 3, 50, 51, 900], 2) == [(1, 51), (900, 900)] and id_ranges([5]) == [(5, 5)] and id_ranges([]) == []
 
 
