@@ -10,6 +10,7 @@ identifier and overwrites what was written.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -153,10 +154,24 @@ class Runs:
         return batch
 
 
+def spellings(path: str) -> set[str]:
+    """A file's path as Spark's sources spell it: plain or with characters escaped, with one slash or three after the
+    scheme of the local file system."""
+    escaped = re.sub(r"[\x00-\x20\x7f%\"<>\\^`{|}#?\[\]]", lambda m: f"%{ord(m[0]):02X}", path)
+    both = {path, escaped}
+    return both | {re.sub("^file:/(?!/)", "file:///", p) for p in both}
+
+
+def to_read(path: str) -> str:
+    """A path for Spark's readers, which would take some characters of a name for a pattern."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 class FileRuns(Runs):
     """Incremental runs over the files of a folder, at most FILES of them in a batch.
 
-    A file is looked into only if its size or time of change differs from its last entry, or if it changed so shortly
+    Names that begin with a dot or an underscore are not listed, as Spark takes them for its own. A file is looked into
+    only if its size or time of change differs from its last entry, or if it changed so shortly
     before that entry was listed that a later change could bear the same time. A file with the content of its last
     entry is not processed again; its entry is brought up to date.
     """
@@ -182,7 +197,7 @@ class FileRuns(Runs):
     def _checked(self, block: list) -> DataFrame:
         """The files of a block with size and checksum of what is in them now."""
         found = self.spark.createDataFrame([(r.path, r.modified, r.listed) for r in block], "path string, modified timestamp, listed timestamp")
-        read = self.spark.read.format("binaryFile").load([r.path for r in block]).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("checksum"))
+        read = self.spark.read.format("binaryFile").load([to_read(r.path) for r in block]).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("checksum"))
         return found.join(read, "path").select("path", "size", "modified", "checksum", "listed")
 
     def _blocks(self, glob: str) -> Iterator[DataFrame]:
@@ -202,11 +217,18 @@ class FileRuns(Runs):
             out = out.unionByName(self.unlisted(block))
         return out
 
+    def _named(self, out: DataFrame, paths: list[str]) -> DataFrame:
+        """Output with each row's path as the manifest has it."""
+        known = self.spark.createDataFrame([(a, p) for p in paths for a in spellings(p)], "__alias string, __path string")
+        stray = F.raise_error(F.concat(F.lit("no file of this batch: "), F.coalesce("path", F.lit("NULL")))).cast("string")
+        joined = out.join(F.broadcast(known), out["path"] == known["__alias"], "left")
+        return joined.withColumn("path", F.coalesce("__path", stray)).drop("__alias", "__path")
+
     def run(self, process: Callable[[DataFrame, list[str]], DataFrame], glob: str = "*", before_commit: Callable[[], None] | None = None) -> list[str]:
         """Processes the files that are new or changed and returns the ids of the batches that were committed.
 
-        process gets the entries of a batch and their paths, at most FILES, and keeps the path that a row is from in
-        the column path. A run that dies leaves the batches that it committed; the next one does the rest.
+        process gets the entries of a batch and their paths as readers take them, at most FILES, and keeps the path that a row is from in
+        the column path, plain or as _metadata.file_path or input_file_name() have it; any other path is an error. A run that dies leaves the batches that it committed; the next one does the rest.
         """
         out = []
         for block in self._blocks(glob):
@@ -216,7 +238,7 @@ class FileRuns(Runs):
             settled = F.unix_micros("listed") - F.unix_micros("modified") > self.UNSURE * 1_000_000
             kept = cut(block.where(settled).join(todo.select("path"), "path", "left_anti").join(last, "path"))
             if paths:
-                out.append(self.commit(todo, lambda d, paths=paths: process(d, paths), before_commit, kept))
+                out.append(self.commit(todo, lambda d, paths=paths: self._named(process(d, list(map(to_read, paths))), paths), before_commit, kept))
             elif not has_at_most(kept, 0):
                 self.commit(todo, None, None, kept)
         return out

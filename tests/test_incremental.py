@@ -126,6 +126,20 @@ def test_blocks_of_files(files, monkeypatch):
     assert len(run_now()) == 2 and results() == [(str(k),) for k in range(5)]
 
 
+@pytest.mark.parametrize("name", ["_metadata.file_path", "input_file_name()"])
+def test_odd_names(files, name, spark):
+    runs, put, run_now, results = files
+    names = ["a b.txt", "c%20d.txt", "é+x#1.txt", "q[1]{2}.txt", "plain.txt"]
+    for n in names:
+        put(n, n)
+    runs.run(lambda entries, paths: spark.read.text(paths).select("value", F.expr(name).alias("path")))
+    assert results() == sorted((n,) for n in names)
+    put("z.txt", "z")
+    with pytest.raises(Exception, match="no file of this batch"):
+        runs.run(lambda entries, paths: spark.read.text(paths).select("value", F.lit("elsewhere").alias("path")))
+    assert results() == sorted((n,) for n in names)
+
+
 def test_two_runs_at_once(files, spark):
     runs, put, run_now, results = files
     put("a.txt", "one")
