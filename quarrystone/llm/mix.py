@@ -10,6 +10,7 @@ all, the rest is sampled, with one threshold per source set so that the source's
 from __future__ import annotations
 
 import base64
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,10 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrystone.functions.frames import cut, python_batches, small
+from quarrystone.functions.frames import cut, python_batches, scratch, small
 
-#: Steps of the thresholds, and rounds of raking by the driver and by the cluster.
-STEPS, ROUNDS, CLUSTER_ROUNDS = 4096, 200, 30
+#: Steps of the thresholds, rounds of raking, and steps for the sources in a round.
+STEPS, ROUNDS, SOURCE_STEPS = 4096, 200, 20
+#: The cluster's rounds, as many as the driver's, so that the number of cells decides where they are raked, not to what.
+CLUSTER_ROUNDS = ROUNDS
 #: Cells (source, language, topic) up to which the driver rakes; beyond, the cluster does.
 DRIVER_CELLS = 100_000
 AXES = ("source", "lang", "topic")
@@ -83,26 +86,48 @@ def language(lang: Column) -> Column:
     return F.when(code == "", "und").when(code == "jp", "ja").otherwise(code)
 
 
-def rake(tokens: np.ndarray, axes: list[np.ndarray], totals: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+def unit_of(most: float) -> float:
+    """In how many parts, a power of two, a token is counted so that weights of at most so much are summed as integers,
+    exactly and so in any order. A token a cell, as most has at least, leaves room for rounding up."""
+    return 2.0 ** (61 - math.frexp(max(1.0, most))[1])
+
+
+def _sums(w: np.ndarray, most: np.ndarray, classes: np.ndarray, n: int, unit: float) -> tuple[np.ndarray, np.ndarray]:
+    """The weight of each of n classes, and that of its cells below their most."""
+    parts = np.ceil(w * unit).astype(np.int64)
+    have, free = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    np.add.at(have, classes, parts)
+    np.add.at(free, classes, np.where(w < most, parts, 0))
+    return have / unit, free / unit
+
+
+def fitted(w: np.ndarray, most: np.ndarray, have: np.ndarray, free: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Cell weights moved towards the total of their class, of which have, free and total are given for each cell."""
+    lack = total - have
+    up = np.where(free > 0, 1 + lack / np.maximum(free, 1e-9), 1)
+    down = np.where(have > 0, total / np.maximum(have, 1e-9), 1)
+    return np.where((lack > 0) & (w >= most), w, np.minimum(w * np.where(lack > 0, up, down), most))
+
+
+def _settled(moved: float, weight: float) -> bool:
+    return moved < 1e-6 * max(1.0, weight)
+
+
+def rake(tokens: np.ndarray, axes: list[np.ndarray], totals: list[np.ndarray], most: np.ndarray, unit: float | None = None) -> np.ndarray:
     """Cell weights with the given totals along each axis, the first axis' exactly, none above its cell's most.
 
     axes: for each axis the class of each cell. A class whose cells are all at their most stays below its total.
     """
     w = np.minimum(tokens.astype(float), most)
+    unit = unit or unit_of(max(w.sum(), *(t.sum() for t in totals)))
     order = [*range(1, len(axes)), 0]
     for _ in range(ROUNDS):
-        before = w.copy()
+        before = w
         for a in order:
-            for _ in range(20 if a == 0 else 1):
-                have = np.bincount(axes[a], weights=w, minlength=len(totals[a]))
-                free = np.bincount(axes[a], weights=np.where(w < most, w, 0), minlength=len(totals[a]))
-                lack = totals[a] - have
-                up = np.where(free > 0, 1 + lack / np.maximum(free, 1e-9), 1)
-                down = np.where(have > 0, totals[a] / np.maximum(have, 1e-9), 1)
-                scale = np.where(lack > 0, up, down)[axes[a]]
-                grow = (lack > 0)[axes[a]]
-                w = np.where(grow & (w >= most), w, np.minimum(w * scale, most))
-        if np.abs(w - before).max(initial=0) < 1e-6 * max(1.0, w.sum()):
+            for _ in range(SOURCE_STEPS if a == 0 else 1):
+                have, free = _sums(w, most, axes[a], len(totals[a]), unit)
+                w = fitted(w, most, have[axes[a]], free[axes[a]], totals[a][axes[a]])
+        if _settled(np.abs(w - before).max(initial=0), int(np.ceil(w * unit).astype(np.int64).sum()) / unit):
             break
     return w
 
@@ -124,24 +149,64 @@ def sized(documents: DataFrame, tokenizer_path: str = TOKENIZER) -> DataFrame:
     return docs.mapInPandas(_counter(held), "doc_id long, source string, lang string, topic string, tokens long")
 
 
-def rake_cells(cells: DataFrame, totals: DataFrame) -> DataFrame:
-    """rake() for any number of cells, as joins and sums; the cells are cut after each round.
+def _moved(cells: pd.DataFrame, axis: str, known: dict[str, tuple[float, float, float]]) -> pd.DataFrame:
+    """The cells fitted along an axis, of each of whose classes have, free and total are known."""
+    have, free, total = np.array([known[c] for c in cells[axis]]).reshape(-1, 3).T
+    return cells.assign(weight=fitted(cells.weight.to_numpy(), cells.most.to_numpy(), have, free, total))
+
+
+def _language_fitter(langs: dict):
+    return lambda batches: (_moved(b, "lang", langs) for b in batches)
 
-    cells: source, lang, topic, tokens, most. totals: axis, class, total. Adds weight.
+
+def _round_fitter(langs: dict, topics: dict, unit: float):
+    """A round's steps for the cells of one source."""
+
+    def run(cells: pd.DataFrame) -> pd.DataFrame:
+        before = cells.weight.to_numpy()
+        cells = _moved(_moved(cells, "lang", langs), "topic", topics)
+        w, most, one = cells.weight.to_numpy(), cells.most.to_numpy(), np.zeros(len(cells), np.int64)
+        for _ in range(SOURCE_STEPS):
+            have, free = _sums(w, most, one, 1, unit)
+            w = fitted(w, most, have[one], free[one], cells.total.to_numpy())
+        return cells.assign(weight=w, moved=np.abs(w - before))
+
+    return run
+
+
+def rake_cells(cells: DataFrame, totals: DataFrame, unit: float) -> DataFrame:
+    """rake() for any number of cells, to the same bits: sums are exact and the steps are its own.
+
+    cells: source, lang, topic, tokens, most. totals: axis, class, total. Adds weight. Sums of languages (two or three
+    letters, so 18,252 at most) and topics (two) go through the driver; the cells of a source, no more than those two
+    make, are fitted by one task. The cells of a round are kept in the shared folder until those of the next are there.
     """
-    goal = {a: cut(totals.where(F.col("axis") == a).select(F.col("class").alias(a), F.col("total"))) for a in AXES}
-    w = cells.withColumn("weight", F.least(F.col("tokens").cast("double"), F.col("most")))
+    spark = cells.sparkSession
+    python_batches(spark)
+    goal = {(r.axis, r["class"]): r.total for r in totals.where("axis <> 'source'").collect()}
+    of_source = cut(totals.where("axis = 'source'").select(F.col("class").alias("source"), "total"))
+    parts = F.ceil(F.col("weight") * F.lit(unit))
+    free = F.when(F.col("weight") < F.col("most"), parts).otherwise(0)
+
+    def sums(w: DataFrame, a: str) -> tuple[dict, bool]:
+        rows = w.groupBy(a).agg(F.sum(parts).alias("have"), F.sum(free).alias("free"), F.max("moved").alias("moved")).collect()
+        return {r[a]: (r.have / unit, r.free / unit, goal[a, r[a]]) for r in rows}, _settled(max((r.moved for r in rows), default=0.0), sum(r.have for r in rows) / unit)
+
+    w = cut(cells.withColumn("weight", F.least(F.col("tokens").cast("double"), F.col("most"))).join(small(of_source), "source").withColumn("moved", F.lit(0.0)))
+    kept = ""
     for _ in range(CLUSTER_ROUNDS):
-        for a in ("lang", "topic", *["source"] * 3):
-            free = F.when(F.col("weight") < F.col("most"), F.col("weight")).otherwise(0.0)
-            have = w.groupBy(a).agg(F.sum("weight").alias("have"), F.sum(free).alias("free")).join(goal[a], a)
-            lack = F.col("total") - F.col("have")
-            up = F.when(F.col("free") > 0, 1 + lack / F.greatest("free", F.lit(1e-9))).otherwise(F.lit(1.0))
-            have = have.select(a, (lack > 0).alias("grow"), F.when(lack > 0, up).otherwise(F.when(F.col("have") > 0, F.col("total") / F.greatest("have", F.lit(1e-9))).otherwise(1.0)).alias("scale"))
-            stays = F.col("grow") & (F.col("weight") >= F.col("most"))
-            w = w.join(small(cut(have)), a).withColumn("weight", F.when(stays, F.col("weight")).otherwise(F.least(F.col("weight") * F.col("scale"), F.col("most")))).drop("grow", "scale")
-        w = cut(w)
-    return w
+        langs, settled = sums(w, "lang")
+        if settled and kept:
+            break
+        topics, _ = sums(w.mapInPandas(_language_fitter(langs), w.schema), "topic")
+        at = scratch(spark, "raked")
+        w.groupBy("source").applyInPandas(_round_fitter(langs, topics, unit), w.schema).write.parquet(at)
+        w = spark.read.schema(w.schema).parquet(at)
+        if kept:
+            path = spark._jvm.org.apache.hadoop.fs.Path(kept)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        kept = at
+    return w.drop("total", "moved")
 
 
 def wanted(targets: DataFrame) -> DataFrame:
@@ -169,13 +234,14 @@ def _plan(documents: DataFrame, targets: DataFrame, total: int | None, tokenizer
     totals = cut(totals)
     bounded = cells.select(*AXES, "tokens", (F.col("most") * F.col("tokens")).cast("double").alias("most"), F.col("most").alias("copies"))
     rows = cells.limit(DRIVER_CELLS + 1).count()
-    raked = _raked_here(bounded, totals) if rows <= DRIVER_CELLS else rake_cells(bounded, totals)
+    unit = unit_of(max(sums, tokens))
+    raked = _raked_here(bounded, totals, unit) if rows <= DRIVER_CELLS else rake_cells(bounded, totals, unit)
     rate = F.least(F.col("weight") / F.col("tokens"), F.col("copies").cast("double"))
     raked = raked.withColumn("whole", F.floor(rate + 1e-9).cast("int")).withColumn("part", F.greatest(F.lit(0.0), rate - F.floor(rate + 1e-9)))
     return docs, cut(raked.select(*AXES, "whole", "part")), totals
 
 
-def _raked_here(cells: DataFrame, totals: DataFrame) -> DataFrame:
+def _raked_here(cells: DataFrame, totals: DataFrame, unit: float) -> DataFrame:
     """The cells with weight, raked by the driver, which holds at most DRIVER_CELLS of them."""
     spark = cells.sparkSession
     rows = cells.orderBy(*AXES).collect()
@@ -185,7 +251,7 @@ def _raked_here(cells: DataFrame, totals: DataFrame) -> DataFrame:
         values = {v: k for k, v in enumerate(sorted({r[a] for r in rows}))}
         axes.append(np.array([values[r[a]] for r in rows], np.int64))
         sums.append(np.array([goal[a, v] for v in values]))
-    w = rake(np.array([r.tokens for r in rows], np.int64), axes, sums, np.array([r.most for r in rows])) if rows else []
+    w = rake(np.array([r.tokens for r in rows], np.int64), axes, sums, np.array([r.most for r in rows]), unit) if rows else []
     return spark.createDataFrame([(*r, float(x)) for r, x in zip(rows, w, strict=True)], cells.schema.add("weight", "double"))
 
 

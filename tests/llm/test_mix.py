@@ -88,3 +88,36 @@ def test_empty(frame):
     assert mix.mixture(frame([], DOCS), t).count() == 0
     assert mix.shares(frame([], DOCS), t).first().tokens == 0
     assert mix.mixture(frame(docs(50), DOCS), frame([], TARGETS)).count() == 0
+
+
+def test_where_cells_are_raked_decides_nothing(frame):
+    """Cells at their repeats, so that neither a few rounds nor a few steps for the sources are enough."""
+    rng = np.random.default_rng(3)
+    cells = []
+    for k in range(6):
+        for lang in ("en", "de", "fr", "zh"):
+            for topic in ("loose", "thread"):
+                n = int(rng.integers(1, 5000) ** 1.5)
+                cells.append((f"s{k}", lang, topic, n, float(n * (1 + k % 3)), 1 + k % 3))
+    tokens = sum(r[3] for r in cells)
+    totals = [("source", f"s{k}", sum(r[4] for r in cells if r[0] == f"s{k}") * 0.95 / (1 + k % 2)) for k in range(6)]
+    wanted = sum(r[2] for r in totals)
+    for i, axis in ((1, "lang"), (2, "topic")):
+        totals += [(axis, c, sum(r[3] for r in cells if r[i] == c) / tokens * wanted) for c in sorted({r[i] for r in cells})]
+    c = frame(cells, "source string, lang string, topic string, tokens long, most double, copies int")
+    t = frame(totals, "axis string, class string, total double")
+    unit = mix.unit_of(max(wanted, tokens))
+    here = sorted(map(tuple, mix._raked_here(c, t, unit).collect()))
+    assert here == sorted(map(tuple, mix.rake_cells(c.repartition(5), t, unit).select(*mix.AXES, "tokens", "most", "copies", "weight").collect()))
+    for _, source, total in totals[:6]:
+        assert sum(r[-1] for r in here if r[0] == source) == pytest.approx(total, rel=1e-6)
+
+
+def test_plan_is_the_same_from_driver_and_cluster(frame, monkeypatch):
+    """After any number of rounds; the smallest source has all its cells at their repeats."""
+    d, t = frame(docs(), DOCS), frame([("BIG", 0.5, 2), ("mid size", 0.3, 4), ("small", 0.2, 3)], TARGETS)
+    for rounds in ("ROUNDS", "CLUSTER_ROUNDS"):
+        monkeypatch.setattr(mix, rounds, 3)
+    here = sorted(map(tuple, mix._plan(d, t, None, mix.TOKENIZER)[1].collect()))
+    monkeypatch.setattr(mix, "DRIVER_CELLS", 0)
+    assert here == sorted(map(tuple, mix._plan(d, t, None, mix.TOKENIZER)[1].collect()))
