@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -46,6 +47,38 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files and checkpoints that nothing refers to; else they stay until the driver happens to
+    collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+class Held:
+    """Tables kept in the shared folder, compressed, only until they are dropped or a block of code ends: for rows with
+    texts, which a checkpoint stores as they are in memory and leaves until garbage is collected."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, scratch(spark, "held"), 0
+
+    def __enter__(self) -> Held:
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.option("compression", "zstd").parquet(at := f"{self.folder}/{self.n}")
+        release(self.spark)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def drop(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        release(self.spark)
+
+    def __exit__(self, *error) -> None:
+        self.drop()
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     return len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows if rows < 1000 else df.limit(rows + 1).count() <= rows
 

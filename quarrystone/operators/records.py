@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -77,30 +77,31 @@ def chunk_rows(records: DataFrame, config: ChunkingConfig = ChunkingConfig(), ke
     return cut_.select("record_id", "collection", "field", "field_no", "updated_at_epoch_seconds", "tags", "metadata", *keep, F.posexplode("segments").alias("ordinal", "text")).where("text <> ''")
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "chunk_id", start: int = 0) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], name: str = "chunk_id", start: int = 0, kept: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """Consecutive ids in a total order, without sorting everything in one task: ranges are sorted where they lie, and
-    only their sizes meet. The sorted rows are kept in the shared folder, so that every reading sees the same ids."""
+    only their sizes meet. The sorted rows are kept, so that every reading sees the same ids: in the shared folder, or
+    as `kept` does it."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     low = F.lit((1 << 33) - 1)
-    placed = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__n", F.monotonically_increasing_id()))
+    placed = kept(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__n", F.monotonically_increasing_id()))
     placed = placed.withColumn("__part", F.shiftright("__n", 33)).withColumn("__in", F.col("__n").bitwiseAND(low))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows")).select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
     return placed.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__in") + F.lit(start)).drop("__n", "__part", "__in", "__before")
 
 
-def chunk_records(records: DataFrame, config: ChunkingConfig = ChunkingConfig(), start: int = 0, by: str | None = None) -> DataFrame:
+def chunk_records(records: DataFrame, config: ChunkingConfig = ChunkingConfig(), start: int = 0, by: str | None = None, kept: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """Chunks with ids in the order of records (by the column `by`, else by key), fields and ordinals."""
     order = ["collection", "record_id"] if by is None else [by]
     rows = chunk_rows(records, config, () if by is None else (by,))
-    return numbered(rows, [*order, "field_no", "ordinal"], start=start).select(*CHUNK_COLUMNS)
+    return numbered(rows, [*order, "field_no", "ordinal"], start=start, kept=kept).select(*CHUNK_COLUMNS)
 
 
-def renumbered(chunks: DataFrame, start: int = 0) -> DataFrame:
+def renumbered(chunks: DataFrame, start: int = 0, kept: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """Chunks with new ids by collection, record, field and ordinal."""
     rows = chunks.withColumnRenamed("chunk_id", "__old")
-    return numbered(rows, ["collection", "record_id", "field", "ordinal", "__old"], start=start).select(*CHUNK_COLUMNS)
+    return numbered(rows, ["collection", "record_id", "field", "ordinal", "__old"], start=start, kept=kept).select(*CHUNK_COLUMNS)
 
 
 def latest_per_key(records: DataFrame, by: str) -> DataFrame:

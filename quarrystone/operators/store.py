@@ -22,13 +22,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.config import NO_PROVIDER, WRONG_VERSION, EngineError, RecordIndexConfig, RecordQuery, Recovery
-from quarrystone.functions.frames import cut, has_at_most, scratch, small
+from quarrystone.functions.frames import Held, cut, has_at_most, scratch, small
 from quarrystone.operators import grams, search
 from quarrystone.operators.records import CHUNK_SCHEMA, check_budget, chunk_records, latest_per_key, renumbered
 
 
 #: Bytes of a page of a stored table; a search reads those pages that may hold its candidates.
 PAGE = 64 << 10
+PAGES = {"parquet.page.size": str(PAGE)}
+#: How the tables of a record index are stored. Sorted grams and ids are small as differences, and dictionaries of them
+#: are not.
+PACKED = {"compression": "zstd", **PAGES}
+STORED = {"chunks": PACKED, "postings": {**PACKED, "parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}, "tombstones": PACKED}
 
 
 class Generations:
@@ -159,24 +164,30 @@ class Generations:
         if meta.get("version") != version:
             raise EngineError(WRONG_VERSION, f"the index has version {meta.get('version')}, not {version}")
 
-    def publish(self, tables: dict[str, DataFrame], meta: dict) -> dict:
-        """A new generation. Its name begins with the time, so that names sort, and no two are the same."""
+    def _write(self, folder: str, tables: dict[str, DataFrame | Callable], stored: dict[str, dict[str, str]], otherwise: dict[str, str]) -> None:
+        for table, df in tables.items():
+            df = df(lambda of: self.spark.read.parquet(f"{folder}/{of}")) if callable(df) else df
+            df.write.mode("overwrite").options(**stored.get(table, otherwise)).parquet(f"{folder}/{table}")
+
+    def publish(self, tables: dict[str, DataFrame | Callable], meta: dict, stored: dict[str, dict[str, str]] = {}) -> dict:
+        """A new generation. Its name begins with the time, so that names sort, and no two are the same. A table may be
+        a function that makes it out of those written before. stored: options of writing, by table."""
         with self.locked():
             name = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
-            for table, df in tables.items():
-                df.write.mode("overwrite").option("parquet.bloom.filter.enabled#gram", "true").option("parquet.page.size", str(PAGE)).parquet(f"{self.path}/generations/{name}/{table}")
-            meta = {**meta, "generation": name, "overlay": 0, "written": int(time.time())}
+            self._write(f"{self.path}/generations/{name}", tables, stored, {"parquet.bloom.filter.enabled#gram": "true", **PAGES})
+            meta = {**meta, "generation": name, "overlay": 0, "kept": {}, "written": int(time.time())}
             self._write_current(meta)
             self._retire()
         return meta
 
-    def publish_overlay(self, meta: dict, tables: dict[str, DataFrame], **more) -> dict:
-        """A new overlay of the current generation, in place of the one before."""
+    def publish_overlay(self, meta: dict, tables: dict[str, DataFrame | Callable], stored: dict[str, dict[str, str]] = {}, stay: tuple[str, ...] = (), **more) -> dict:
+        """A new overlay of the current generation, in place of the one before. stay: tables of that one that are the new
+        one's as they are, without a copy."""
         with self.locked():
             k = f"{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
-            for table, df in tables.items():
-                df.write.mode("overwrite").parquet(f"{self.path}/generations/{meta['generation']}/overlay-{k}/{table}")
-            meta = {**meta, **more, "overlay": k, "written": int(time.time())}
+            self._write(f"{self.path}/generations/{meta['generation']}/overlay-{k}", tables, stored, {})
+            kept = {t: meta.get("kept", {}).get(t, meta["overlay"]) for t in stay}
+            meta = {**meta, **more, "overlay": k, "kept": kept, "written": int(time.time())}
             self._write_current(meta)
         return meta
 
@@ -189,7 +200,7 @@ class Generations:
         return self.spark.read.parquet(f"{self.path}/generations/{meta['generation']}/{table}")
 
     def read_overlay(self, meta: dict, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/generations/{meta['generation']}/overlay-{meta['overlay']}/{table}")
+        return self.spark.read.parquet(f"{self.path}/generations/{meta['generation']}/overlay-{meta.get('kept', {}).get(table, meta['overlay'])}/{table}")
 
     def remove(self) -> None:
         self._fs.delete(self._at(self.path), True)
@@ -256,15 +267,20 @@ class RecordIndex:
     def _empty(self) -> DataFrame:
         return self.spark.createDataFrame([], CHUNK_SCHEMA)
 
-    def _replace(self, chunks: DataFrame, next_id: int) -> dict:
-        entries = grams.sorted_postings(chunks, self.config.index.max_gram_length)
-        self.meta = self.store.publish({"chunks": chunks, "postings": entries}, {"version": self.VERSION, "next_id": next_id})
+    def _replace(self, chunks: DataFrame, next_id: int, held: Held | None = None) -> dict:
+        def entries(written: Callable[[str], DataFrame]) -> DataFrame:
+            if held is not None:  # the chunks are written
+                held.drop()
+            return grams.sorted_postings(written("chunks"), self.config.index.max_gram_length)
+
+        self.meta = self.store.publish({"chunks": chunks, "postings": entries}, {"version": self.VERSION, "next_id": next_id}, STORED)
         return self.meta
 
     def _built(self, records: DataFrame, by: str | None = None) -> dict:
-        chunks = cut(chunk_records(records, self.config.chunking, by=by))
-        self._check(chunks)
-        return self._replace(chunks, chunks.count())
+        with Held(self.spark) as held:
+            chunks = chunk_records(records, self.config.chunking, by=by, kept=held.keep)
+            self._check(chunks)
+            return self._replace(chunks, chunks.count(), held)
 
     def _check(self, chunks: DataFrame) -> None:
         if self.config.budget is not None:
@@ -310,12 +326,13 @@ class RecordIndex:
             return Maintained()
         order = by or "__order"
         batch = records if by else records.withColumn(order, F.monotonically_increasing_id())
-        batch = cut(latest_per_key(batch, order))
-        keys = batch.select("collection", F.col("id").alias("record_id"))
-        replaced = self.chunks().join(small(keys), ["collection", "record_id"], "left_semi").select("chunk_id")
-        new = cut(chunk_records(batch.drop(order), self.config.chunking, start=self.meta["next_id"]))
-        result = Maintained(upserted=batch.count())
-        self._commit(new, replaced)
+        with Held(self.spark) as held:
+            batch = held.keep(latest_per_key(batch, order))
+            keys = batch.select("collection", F.col("id").alias("record_id"))
+            replaced = self.chunks().join(small(keys), ["collection", "record_id"], "left_semi").select("chunk_id")
+            new = chunk_records(batch.drop(order), self.config.chunking, start=self.meta["next_id"], kept=held.keep)
+            result = Maintained(upserted=batch.count())
+            self._commit(new, replaced)
         if self.config.compaction_threshold <= self.store.read_overlay(self.meta, "chunks").count():
             self.compact()
             return Maintained(upserted=result.upserted, compacted=True)
@@ -338,25 +355,31 @@ class RecordIndex:
         found = cut(chunks.select("collection", "record_id", "chunk_id"))
         n = found.select("collection", "record_id").distinct().count()
         if n:
-            self._commit(self._empty(), found.select("chunk_id"))
+            self._commit(None, found.select("chunk_id"))
         return Maintained(deleted=n)
 
-    def _commit(self, new: DataFrame, dead: DataFrame) -> None:
-        entries = grams.postings(new, self.config.index.max_gram_length)
-        overlay = {"chunks": new, "postings": entries, "tombstones": dead}
-        if self.meta.get("overlay"):
+    def _commit(self, new: DataFrame | None, dead: DataFrame) -> None:
+        """An overlay with new chunks, or none, and further dead ones. Without new ones, an overlay's chunks and postings
+        stay where they are."""
+        before = bool(self.meta.get("overlay"))
+        overlay, stay = {"tombstones": dead}, ("chunks", "postings") if before and new is None else ()
+        if not stay:
+            new = self._empty() if new is None else new
+            overlay |= {"chunks": new, "postings": grams.sorted_postings(new, self.config.index.max_gram_length)}
+        if before:
             overlay = {t: self.store.read_overlay(self.meta, t).unionByName(df) for t, df in overlay.items()}
         overlay["tombstones"] = cut(overlay["tombstones"].distinct())
         if self.config.budget is not None:
-            base = self.store.read(self.meta, "chunks").unionByName(overlay["chunks"])
+            base = self.store.read(self.meta, "chunks").unionByName(self._overlay("chunks") if stay else overlay["chunks"])
             self._check(base.join(overlay["tombstones"], "chunk_id", "left_anti"))
-        self.meta = self.store.publish_overlay(self.meta, overlay, next_id=self.meta["next_id"] + new.count())
+        self.meta = self.store.publish_overlay(self.meta, overlay, STORED, stay, next_id=self.meta["next_id"] + (0 if new is None else new.count()))
 
     @changes
     def compact(self) -> Maintained:
         """Renumbers the active chunks into a new base; overlay and tombstones go. Texts are not chunked again."""
-        chunks = cut(renumbered(self.chunks()))
-        self._replace(chunks, chunks.count())
+        with Held(self.spark) as held:
+            chunks = renumbered(self.chunks(), kept=held.keep)
+            self._replace(chunks, chunks.count(), held)
         return Maintained(compacted=True)
 
     def remove(self) -> None:
@@ -370,16 +393,16 @@ class RecordIndex:
         chunks = self.chunks()
         return search.hits(chunks, query, entries, self.config.index), search.report(chunks, query, entries, self.config.index)
 
-    def status(self) -> DataFrame:
+    def status(self, *names: str) -> DataFrame:
         """One row: record_count, chunk_count, resident_bytes, gram_count, overlay_chunk_count, tombstone_count,
-        generation, age_seconds (never below 0)."""
+        generation, age_seconds (never below 0). names: the counts to make, if not all; counting grams is the dear one."""
         none = self.spark.range(0)
         overlay, dead = self._overlay("chunks"), self._overlay("tombstones")
         rows = lambda df: (none if df is None else df).agg(F.count(F.lit(1)))
         chunks = index_status(self.chunks())
         counts = {c: chunks.select(c) for c in chunks.columns}
         counts |= {"gram_count": self.postings().agg(F.count_distinct("gram")), "overlay_chunk_count": rows(overlay), "tombstone_count": rows(dead)}
-        return one_row(counts).select("*", F.lit(self.meta["generation"]).alias("generation"), age_seconds(self.meta).alias("age_seconds"))
+        return one_row({n: df for n, df in counts.items() if not names or n in names}).select("*", F.lit(self.meta["generation"]).alias("generation"), age_seconds(self.meta).alias("age_seconds"))
 
 
 def one_row(counts: dict[str, DataFrame]) -> DataFrame:

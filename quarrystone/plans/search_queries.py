@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.config import ChunkingConfig, FileQuery, Mode, RecordIndexConfig, RecordQuery
-from quarrystone.functions.frames import cut, scratch, table
+from quarrystone.functions.frames import Held, cut, scratch, table
 from quarrystone.functions.matching import trimmed
 from quarrystone.operators import baselines, files, grams, ignore, postings, records, search, store
 from quarrystone.operators.globs import glob_regex
@@ -131,9 +131,10 @@ def _changed_index(spark: SparkSession, d: str, name: str) -> store.RecordIndex:
     index = _whole_texts(name, spark)
     index.replace_all(table(spark, d, "records"), by="row_no")
     feed = table(spark, d, "record_feed").withColumn("at", F.struct("arrived_at", "delivery_id"))
-    last = cut(records.latest_per_key(feed.select("op", *(c.split()[0] for c in records.RECORD_SCHEMA.split(", ")), "at"), "at"))
-    index.upsert(last.where("op = 'upsert'").drop("op"), by="at")
-    index.delete_keys(last.where("op = 'delete'").select("collection", "id"))
+    with Held(spark) as held:
+        last = held.keep(records.latest_per_key(feed.select("op", *(c.split()[0] for c in records.RECORD_SCHEMA.split(", ")), "at"), "at"))
+        index.upsert(last.where("op = 'upsert'").drop("op"), by="at")
+        index.delete_keys(last.where("op = 'delete'").select("collection", "id"))
     return index
 
 
@@ -161,7 +162,7 @@ def stored_compact(spark: SparkSession, d: str) -> DataFrame:
     """Chunks and status after compaction: no overlay, no tombstones, ids from 0 by key, field and ordinal."""
     index = _changed_index(spark, d, "stored-compact")
     index.compact()
-    s = index.status().first()
+    s = index.status("overlay_chunk_count", "tombstone_count").first()
     return index.chunks().select("chunk_id", *UNIT[:4], F.lit(s.overlay_chunk_count).alias("overlay"), F.lit(s.tombstone_count).alias("dead"))
 
 

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 
 from quarrystone.operators import grams
@@ -54,3 +55,23 @@ def test_postings(frame):
     far = grams.postings(frame([(1, "heron"), (grams.LIST_SPAN, "heron"), (grams.LIST_SPAN + 9, "heron")], "chunk_id long, text string"))
     assert [(r.block, r.chunks) for r in grams.posting_lists(far).where(f"gram = {grams.gram_hash(b'ron')}").orderBy("block").collect()] == [(0, [1]), (1, [grams.LIST_SPAN, grams.LIST_SPAN + 9])]
     assert grams.postings(frame([], "chunk_id long, text string")).count() == 0
+
+
+def test_sorted_postings(frame, monkeypatch):
+    rows = [(k, t) for k, t in enumerate(["heron", None, "", "x", "heron heron", "an archive box", "漢字 heron", "the heron box"])] + [(None, "heron")]
+    chunks = frame(rows, "chunk_id long, text string")
+    want = sorted(map(tuple, grams.postings(chunks).collect()))
+    got = grams.sorted_postings(chunks)
+    assert sorted(map(tuple, got.collect())) == want
+    plan = chunks.sparkSession._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+    assert "Exchange" not in plan and "Sort" not in plan
+    monkeypatch.setattr(grams, "BLOCK_CHARS", 10)
+    monkeypatch.setattr(grams, "ROWS_AT_ONCE", 7)
+    batches = [pd.DataFrame({"chunk_id": [k], "text": [t]}) for k, t in rows[4:8]]
+    parts = list(grams._block_sorter(128)(iter(batches)))
+    assert max(map(len, parts)) <= 7
+    found = [(int(g), int(i)) for p in parts for g, i in zip(p.gram, p.chunk_id, strict=True)]
+    assert sorted(found) == [r for r in want if r[1] >= 4] and found != sorted(found)  # several blocks, sorted each
+    monkeypatch.setattr(grams, "BLOCK_CHARS", 1000)
+    found = [(int(g), int(i)) for p in grams._block_sorter(128)(iter(batches)) for g, i in zip(p.gram, p.chunk_id, strict=True)]
+    assert found == [r for r in want if r[1] >= 4] and not list(grams._block_sorter(128)(iter([])))

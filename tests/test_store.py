@@ -1,9 +1,11 @@
 import os
+import random
 from threading import Thread
 
 import pytest
 
 from quarrystone.config import NO_PROVIDER, NO_REUSE, NOT_PERSISTED, NOTHING_TO_REUSE, CHUNK_COUNT_BUDGET, ChunkingConfig, EngineError, FileQuery, IndexConfig, MemoryBudget, RecordIndexConfig, RecordQuery
+from quarrystone.functions.frames import shared_dir
 from quarrystone.operators import baselines
 from quarrystone.operators.files import FileIndex
 from quarrystone.operators.postings import id_ranges
@@ -129,6 +131,30 @@ def test_candidates_narrow_the_scan(spark, tmp_path, monkeypatch):
     assert id_ranges([1, 2, 3, 50, 51, 900], 2) == [(1, 51), (900, 900)] and id_ranges([5]) == [(5, 5)] and id_ranges([]) == []
 
 
+def test_disk_of_an_index(spark, tmp_path, monkeypatch):
+    """At every publishing, little lies in the shared folder besides: no copy of the postings, none of texts that are
+    written; a delete copies no overlay, and what was held is gone."""
+    pick = random.Random(3)
+    words = ["".join(pick.choices("abcdefghijklmnop", k=5)) for _ in range(400)]
+    rows = [dict(id=f"{k:05d}", collection=f"c{k % 3}", body=" ".join(pick.choices(words, k=60))) for k in range(1500)]
+    shared = shared_dir(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(f"{at}/{f}") for at, _, fs in os.walk(shared) for f in fs)
+    besides, before, write = [], size(), Generations._write_current
+    monkeypatch.setattr(Generations, "_write_current", lambda self, meta: (besides.append(size() - before), write(self, meta))[1])
+    index = RecordIndex(spark, RecordIndexConfig(storage=str(tmp_path / "ix")))
+    index.replace_all(records_frame(spark, rows))
+    index.upsert(records_frame(spark, [dict(r, body=r["body"] + " needle") for r in rows[:90]]))
+    assert index.delete([r["id"] for r in rows[60:70]]).deleted == 10 and index.delete(["00100"]).deleted == 1
+    assert len(list((tmp_path / "ix").glob("generations/*/overlay-*/postings"))) == 1
+    again = RecordIndex(spark, RecordIndexConfig(storage=str(tmp_path / "ix")))
+    assert found(again, "needle") == 80 and again.status("chunk_count", "overlay_chunk_count").first()[:2] == (1489, 90)
+    again.upsert(records_frame(spark, [dict(rows[61], body="needle")]))
+    again.compact()
+    assert found(again, "needle") == 81 and found(again, words[0]) > 80
+    assert [r.chunk_id for r in again.chunks().orderBy("collection", "record_id").collect()] == list(range(1490))
+    assert max(besides) < 2 * again.postings().count() and not [f for f in os.listdir(shared) if f.startswith("held-")]
+
+
 def test_recovery(spark, tmp_path):
     memo = dict(id="memo-1", collection="memories", body="A persisted memory about sparse indexing.", tags=["memory"])
     provider = CallableProvider(lambda s: [memo])
